@@ -78,3 +78,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
         condition = condition & F.col(f"`{k}`").eqNullSafe(F.col(f"`_key_{k}`"))
     joined = left.join(renamed, condition, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_key_{k}" for k in on])
+
+
+def spread(df: DataFrame, bytes_per_task: int = 64 << 20) -> DataFrame:
+    """Spread a small input over all cores before CPU-heavy work on its rows.
+
+    A small file is one task however many cores there are.  Inputs that already fill the
+    cluster (by the optimizer's size estimate) are returned as they are, without a shuffle.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(tasks) if size < tasks * bytes_per_task else df
