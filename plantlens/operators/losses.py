@@ -56,8 +56,8 @@ def cpk(df: DataFrame, specs: DataFrame, series: Sequence[str] = ()) -> DataFram
     ``specs`` has ``parameter, lsl, usl``.  Parameters that are no column stay in the result.
     """
     series = list(series)
-    names = [r["parameter"] for r in specs.select("parameter").distinct().limit(len(df.columns) * 4 + 1000).collect()]
-    present = [c for c in names if c in df.columns]
+    wanted = specs.where(F.col("parameter").isin(df.columns)).select("parameter").distinct()
+    present = sorted(r["parameter"] for r in wanted.collect())  # no more than the columns of df
     cells = []
     for c in present:
         x = to_number(df, c)
