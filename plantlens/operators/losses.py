@@ -172,7 +172,7 @@ def _shapiro(pairs: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
         head = group.iloc[:1][keys].reset_index(drop=True)
         return head.assign(shapiro_p=shapiro_wilk(group["p"].to_numpy())[1])
 
-    bounded = null_safe_join(pairs.select(*keys, "p"), F.broadcast(small), keys, "left_semi")
+    bounded = join_small(pairs.select(*keys, "p"), small, keys, "left_semi")
     return bounded.groupBy(*keys).applyInPandas(run, schema)
 
 
@@ -217,8 +217,7 @@ def correlations(df: DataFrame, params: Sequence[str], defect: str, series: Sequ
     every = every.select(*series, "_text_d", "_example_d", F.explode("_c").alias("_p")).select(
         *series, "_text_d", "_example_d", "_p.*"
     )
-    usable = null_safe_join(pairs, F.broadcast(stats.where(ok).select(*keys)), keys, "left_semi") \
-        if stats.count() <= 200_000 else null_safe_join(pairs, stats.where(ok).select(*keys), keys, "left_semi")
+    usable = join_small(pairs, stats.where(ok).select(*keys), keys, "left_semi")
     table = null_safe_join(every, stats, keys, "left")
     table = null_safe_join(table, _spearman(usable, keys, total), keys, "left")
     table = null_safe_join(table, _shapiro(usable, keys, stats.where(ok)), keys, "left")

@@ -190,6 +190,15 @@ def with_halo(points: DataFrame, rows: int) -> DataFrame:
     )
 
 
+def previous_in_series(df: DataFrame, series: Sequence[str], order: Sequence[str], column: str, out: str) -> DataFrame:
+    """Add ``out`` = ``column`` of the sample before, along the series; blocks carry one row over."""
+    keys = list(series)
+    copies = with_halo(with_positions(df, series, order, (), 1024), 1)
+    before = F.lag(column).over(Window.partitionBy(*keys, "block").orderBy("pos"))
+    filled = copies.withColumn(out, before).where("own")
+    return filled.drop("own", "pos", "n", "block", "block_rows")
+
+
 def running_total(
     df: DataFrame, series: Sequence[str], order: Sequence[str], amount: str, out: str
 ) -> DataFrame:

@@ -206,6 +206,20 @@ def alert_timeline(alert_rows: DataFrame, ts: str, width: str = "1 day") -> Data
     )
 
 
+def alert_badge(column: str = "violations") -> Column:
+    """Badge of a violation count."""
+    return F.when(F.col(column) >= 3, "danger").when(F.col(column) > 0, "warn").otherwise("ok")
+
+
+def alert_trend(column: str = "n_alerts") -> list[Column]:
+    """Trend and wording of the dashboard's alert count."""
+    n = F.col(column)
+    return [
+        F.when(n > 0, "down").otherwise("up").alias("trend"),
+        F.when(n > 0, F.concat(n.cast("string"), F.lit(" a traiter"))).otherwise("Processus stable").alias("libelle"),
+    ]
+
+
 def pattern_label(column: str = "dominant_pattern") -> Column:
     """Display label of a pattern; unknown patterns keep their own name."""
     pairs = [F.lit(x) for kv in PATTERN_LABELS.items() for x in kv]

@@ -13,10 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from plantlens.functions.vocab import FAMILIES, STATUS_LABELS
-from plantlens.operators.ordered import with_positions
+from plantlens.operators.ordered import previous_in_series, with_positions
 from plantlens.session import spread
 
 
@@ -416,5 +415,23 @@ def feedback_stats(predictions: DataFrame, feedback: DataFrame) -> DataFrame:
 
 def chain_parents(nodes: DataFrame) -> DataFrame:
     """Set ``parent_id`` to the node one level up in the same project and branch."""
-    chain = Window.partitionBy("projet_id", "branche_m").orderBy("niveau", "id")
-    return nodes.withColumn("parent_id", F.lag("id").over(chain))
+    linked = previous_in_series(nodes.drop("parent_id"), ["projet_id", "branche_m"], ["niveau", "id"], "id", "parent_id")
+    return linked.select(*nodes.columns)
+
+
+def list_defects(defects: DataFrame, limit: int = 50, line: str | None = None) -> DataFrame:
+    """Newest reported defects, optionally of one line."""
+    rows = defects if line is None else defects.where(F.col("ligne") == line)
+    return rows.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
+
+
+def predictions_of(predictions: DataFrame, defects: DataFrame) -> DataFrame:
+    """Stored predictions of a batch of defects, by axis and rank."""
+    wanted = defects.select(F.col("id").alias("defaut_id")).distinct()
+    return predictions.join(wanted, "defaut_id", "left_semi").orderBy("defaut_id", "m_axis", "rank", "id")
+
+
+def model_versions(versions: DataFrame, axis: str | None = None) -> DataFrame:
+    """Registered model versions, newest first."""
+    rows = versions if axis is None else versions.where(F.col("m_axis") == axis)
+    return rows.orderBy(F.desc("training_date"), F.desc("id"))
