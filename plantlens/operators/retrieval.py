@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from plantlens.functions.text import case_text, grams, pairs_of
 from plantlens.operators.matching import Weighting, best_matches
-from plantlens.session import spread
 
 MAX_FEATURES = 5000
 MIN_HISTORY = 3
@@ -28,7 +27,7 @@ def vocabulary(cases: DataFrame, text: str, max_features: int = MAX_FEATURES) ->
     of a document for ``df``.  They are summed map-side, so frequent terms meet no hot reducer.
     Ties in frequency go to the smaller term.
     """
-    worded = with_terms(spread(cases.select(text)), text)
+    worded = with_terms(cases.select(text), text)
     marks = F.concat(
         F.transform("terms", lambda t: F.struct(t.alias("t"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
         F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("t"), F.lit(0).alias("n"), F.lit(1).alias("d"))),

@@ -35,6 +35,7 @@ from plantlens.functions.vocab import (
 from plantlens.operators import autofill, cases, clean, drift, losses, nodes, ordered, quality, retrieval, shifts, similarity, spc, supervised
 from plantlens.plans import analysis, standins
 from plantlens.plans.standins import frame, quoted
+from plantlens.session import read_table
 from plantlens.sources import files, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,7 +140,7 @@ RULE_OUTPUT = (
 
 
 def lineitem(spark, d):
-    return spark.read.parquet(f"{d}/lineitem.parquet")
+    return read_table(spark, f"{d}/lineitem.parquet")
 
 
 def sensors(spark, d):
@@ -623,7 +624,7 @@ _SCORES = "sc AS (SELECT p_type || ' ' || p_brand AS parameter, sum(p_retailpric
     "CASE WHEN rank <= 3 THEN 'danger' WHEN rank <= 6 THEN 'warn' ELSE 'primary' END AS tier FROM top"
 )
 def pareto(spark, d):
-    part = spark.read.parquet(f"{d}/part.parquet")
+    part = read_table(spark, f"{d}/part.parquet")
     scores = part.groupBy(F.concat_ws(" ", "p_type", "p_brand").alias("parameter")).agg(F.sum("p_retailprice").alias("score"))
     return rounded(spc.pareto(scores), 4)
 
@@ -753,7 +754,7 @@ _GRAMS = (
 @query(f"WITH docs AS (SELECT doc_id AS id, text FROM documents), {_GRAMS} SELECT term, tf, df, round(idf, 6) AS idf FROM idf")
 def tfidf_vocabulary(spark, d):
     """5000 most frequent words and word pairs with their idf."""
-    documents = spark.read.parquet(f"{d}/documents.parquet")
+    documents = read_table(spark, f"{d}/documents.parquet")
     return rounded(retrieval.vocabulary(documents, "text"))
 
 
@@ -774,7 +775,7 @@ def tfidf_vocabulary(spark, d):
 def tfidf_suggest(spark, d):
     """Best five distinct causes per new case by TF-IDF similarity."""
     engine = retrieval.TextEngine.fit(frame(spark, d, standins.RCA_CASES))
-    queries = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("id"), "text")
+    queries = read_table(spark, f"{d}/benchmark.parquet").select(F.col("item_id").alias("id"), "text")
     return rounded(engine.suggest(queries))
 
 
@@ -1039,7 +1040,7 @@ def patched_incidents(spark, d):
 def appended_actions(spark, d):
     """New actions with defaults, trimmed titles and dense ids after the existing ones."""
     existing = frame(spark, d, standins.ACTIONS)
-    fresh = spark.read.parquet(f"{d}/events.parquet").select(
+    fresh = read_table(spark, f"{d}/events.parquet").select(
         F.col("event_id").alias("_e"), F.col("user_id").alias("projet_id"), F.concat(F.lit("  "), "event_type", F.lit(" ")).alias("titre"),
         F.when(F.col("value") > 50, 1).alias("priorite"), F.col("ts").alias("cree_le"),
     )
@@ -1132,7 +1133,7 @@ def solution_sheets(spark, d):
 
 def _stored_cases(spark, d):
     """Cases with maps, encoded to JSON text and read back."""
-    rows = spark.read.parquet(f"{d}/orders.parquet").select(
+    rows = read_table(spark, f"{d}/orders.parquet").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("defect_type"), F.col("o_orderstatus").alias("context"),
         F.create_map(F.lit("prix"), F.col("o_totalprice")).alias("parameters"),
         F.create_map(F.lit("Machine"), F.array(F.lit("usure"), F.col("o_orderstatus"))).alias("causes_5m"),
@@ -1177,7 +1178,7 @@ SELECT event_id AS id, event_id AS defaut_id, user_id % 10 AS model_version_id,
 )
 def feedback_stats(spark, d):
     """Hit rate of predictions per model version and rank."""
-    feedback = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("prediction_id"), (F.col("value") > 30).alias("was_correct"))
+    feedback = read_table(spark, f"{d}/events.parquet").select(F.col("event_id").alias("prediction_id"), (F.col("value") > 30).alias("was_correct"))
     return rounded(store.feedback_stats(frame(spark, d, _PREDICTIONS), feedback))
 
 
@@ -1198,7 +1199,7 @@ def activated_models(spark, d):
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '2000-01-01' - INTERVAL 365 DAY")
 def pruned_rows(spark, d):
-    rows = spark.read.parquet(f"{d}/orders.parquet")
+    rows = read_table(spark, f"{d}/orders.parquet")
     return store.prune(rows, "o_orderdate", 365, F.lit("2000-01-01").cast("date")).select("o_orderkey", "o_orderstatus")
 
 

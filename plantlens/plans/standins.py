@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from plantlens.functions.vocab import (
     BLAME_MARKERS,
     CONDITION_MARKERS,
-    FAMILY_WORDS,
     ROOT_MARKERS,
     SYMPTOM_MARKERS,
     TREE_BRANCHES,
 )
+from plantlens.session import read_table
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -182,7 +182,7 @@ FROM lineitem
 def load(spark: SparkSession, sf_dir: str, *tables: str) -> None:
     """Register the named test tables as temporary views."""
     for t in tables or TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        read_table(spark, f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -81,12 +81,13 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_key_{k}" for k in on])
 
 
-def spread(df: DataFrame, bytes_per_task: int = 64 << 20) -> DataFrame:
-    """Spread a small input over all cores before CPU-heavy work on its rows.
+def read_table(spark: SparkSession, path: str, bytes_per_task: int = 64 << 20) -> DataFrame:
+    """Read a Parquet table; a small one is spread over all cores.
 
-    A small file is one task however many cores there are.  Inputs that already fill the
-    cluster (by the optimizer's size estimate) are returned as they are, without a shuffle.
+    A file with one row group is one task however many cores there are.  Tables that already
+    fill the cluster (by the optimizer's size estimate) are read as they are, without a shuffle.
     """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
+    df = spark.read.parquet(path)
+    tasks = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(tasks) if size < tasks * bytes_per_task else df
+    return df.repartition(tasks) if (1 << 20) < size < tasks * bytes_per_task else df

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from plantlens.functions.vocab import FAMILIES, STATUS_LABELS
 from plantlens.operators.ordered import previous_in_series, with_positions
-from plantlens.session import spread
 
 
 @dataclass(frozen=True)
@@ -395,7 +394,7 @@ def data_hash(rows: DataFrame) -> DataFrame:
     Sums of 28-bit digit groups stay exact in a long; the row count is part of the result.
     """
     text = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
-    digest = spread(rows).select(F.sha2(text, 256).alias("_h"))
+    digest = rows.select(F.sha2(text, 256).alias("_h"))
     groups = [F.conv(F.substring("_h", 1 + 7 * i, 7), 16, 10).cast("bigint") for i in range(9)]
     sums = digest.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(g).alias(f"_s{i}") for i, g in enumerate(groups)])
     joined = F.concat_ws("-", "rows", *[F.coalesce(F.col(f"_s{i}"), F.lit(0)) for i in range(9)])
