@@ -51,8 +51,8 @@ def exponential_scan(rows: DataFrame, keys: Sequence[str], decay: float, out: st
         ends = ends.withColumnRenamed("input", "_carry")
     else:
         ends = exponential_scan(
-            ends.withColumnRenamed("_m", "pos"), keys, decay**block, "_carry"
-        ).select(*keys, F.col("pos").alias("_m"), "_carry")
+            ends.withColumnRenamed("_m", "pos"), keys, decay**block, "_end"
+        ).select(*keys, F.col("pos").alias("_m"), F.col("_end").alias("_carry"))
     entering = ends.withColumn("_m", F.col("_m") + 1)
     w = Window.partitionBy(*keys, "_m").orderBy("_off").rowsBetween(Window.unboundedPreceding, 0)
     inside = F.sum(weighted).over(w)

@@ -22,9 +22,11 @@ from pyspark.sql.window import Window
 
 from plantlens.session import join_small, materialize
 
-# Smallest block; longer series use larger blocks so that one series has at most
-# MIN_BLOCK_ROWS blocks (the per-series block table stays small too).
-MIN_BLOCK_ROWS = 65_536
+# Smallest block: with its halo it stays under the 4096 rows a window keeps in its plain row
+# buffer.  Longer series use longer blocks, so that one series has at most MAX_BLOCKS of them and
+# its block table (one small row each) stays a light task.
+MIN_BLOCK_ROWS = 4_000
+MAX_BLOCKS = 1_000_000
 
 _UNBOUNDED = Window.unboundedPreceding
 
@@ -102,7 +104,7 @@ def with_positions(
     keep += [f"{p}_{c}" for c in stats_of for p in ("mean", "std")]
     block_rows = F.greatest(
         F.lit(min_block_rows).cast("long"),
-        F.ceil(F.col("n") / F.lit(float(MIN_BLOCK_ROWS))).cast("long"),
+        F.ceil(F.col("n") / F.lit(float(MAX_BLOCKS))).cast("long"),
     )
     placed = join_small(frozen, runs.select(*keep), [*series, "_pid"])
     placed = placed.withColumn("pos", F.col("_base") + F.col("_uid") - F.col("_first"))
