@@ -35,8 +35,9 @@ from plantlens.functions.vocab import (
 from plantlens.operators import autofill, cases, clean, drift, losses, nodes, ordered, quality, retrieval, shifts, similarity, spc, supervised
 from plantlens.plans import analysis, standins
 from plantlens.plans.standins import frame, quoted
-from plantlens.session import read_table
+from plantlens.session import read_table, work_folder
 from plantlens.sources import files, store
+from plantlens.streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1266,3 +1267,149 @@ def supervised_explain(spark, d):
     engine = supervised.SupervisedEngine(_train(spark, d).models)
     contexts = frame(spark, d, standins.HISTORY).withColumn("case_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
     return engine.explain(contexts, 2)
+
+
+# --- files and streams -------------------------------------------------------
+
+
+@query(
+    f"WITH x AS ({EXPORT}), y AS (SELECT event_id, CASE WHEN lower(trim(temperature)) NOT IN ('n/a', '-9999', 'sensor_fail') THEN temperature END AS t, "
+    "CASE WHEN poste <> '' THEN poste END AS poste, jour, libelle FROM x) SELECT CAST(event_id + 100000 AS DOUBLE) AS numero, "
+    "CAST(replace(regexp_replace(replace(trim(t), ' ', ''), '[a-zA-Z°%]+$', ''), ',', '.') AS DOUBLE) AS temperature, "
+    "CAST(poste AS DOUBLE) AS poste, strftime(CAST(jour AS DATE), '%Y-%m-%d') AS jour, 'événement ' || libelle AS libelle FROM y"
+)
+def file_round_trip(spark, d):
+    """Sensor table written as a Latin-1 export, then sniffed, read and typed again."""
+    folder = work_folder(spark, "export")
+    rows = frame(spark, d, EXPORT).select(
+        (F.col("event_id") + 100000).cast("string").alias("numero"), "temperature", "poste", "jour",
+        F.concat(F.lit("événement "), "libelle").alias("libelle"),
+    )
+    rows.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").csv(folder)
+    paths = spark.read.text(folder).inputFiles()
+    loaded = files.load_files(spark, paths)
+    typed = loaded[0].rows
+    for part in loaded[1:]:
+        typed = typed.unionByName(part.rows)
+    return typed.select("numero", "temperature", "poste", F.date_format("jour", "yyyy-MM-dd").alias("jour"), "libelle")
+
+
+def _run_stream(spark, stream: DataFrame, purpose: str) -> DataFrame:
+    """Drain a stream into a table and read it back."""
+    folder = work_folder(spark, purpose)
+    running = (
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _event_stream(spark, d):
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query(
+    f"WITH RECURSIVE {event_points(['value'])}, {STATS}, "
+    "p AS (SELECT pts.s, pts.pos, pts.value, st.mean, st.sd FROM pts JOIN st ON st.s = pts.s), "
+    "m AS (SELECT s, pos, value, mean, sd, 0.2 * value + 0.8 * mean AS e, greatest(0, value - mean - 0.5 * sd) AS cp, greatest(0, mean - 0.5 * sd - value) AS cm FROM p WHERE pos = 0 "
+    "UNION ALL SELECT p.s, p.pos, p.value, p.mean, p.sd, 0.2 * p.value + 0.8 * m.e, greatest(0, m.cp + p.value - p.mean - 0.5 * p.sd), greatest(0, m.cm + p.mean - 0.5 * p.sd - p.value) "
+    "FROM m JOIN p ON p.s = m.s AND p.pos = m.pos + 1), "
+    "a AS (SELECT s, 'limites' AS rule, value AS statistic FROM m WHERE abs(value - mean) > 3 * sd UNION ALL SELECT s, 'ewma', e FROM m WHERE abs(e - mean) > 3 * sd * sqrt(0.2 / 1.8) "
+    "UNION ALL SELECT s, 'cusum_haut', cp FROM m WHERE cp > 4 * sd UNION ALL SELECT s, 'cusum_bas', cm FROM m WHERE cm > 4 * sd) "
+    "SELECT s AS series, rule, round(statistic, 6) AS statistic FROM a"
+)
+def stream_monitor(spark, d):
+    """Alerts of the sensor stream against limits frozen from a baseline."""
+    baseline = clean.column_stats(sensors(spark, d), ["value"], ["event_type"]).select(
+        F.col("event_type").alias("series"), "parameter", "mean", "std"
+    )
+    samples = _event_stream(spark, d).select(F.col("event_type").alias("series"), F.lit("value").alias("parameter"), "ts", "value")
+    alerts = _run_stream(spark, monitor.monitor(samples, baseline), "monitor")
+    return rounded(alerts.select("series", "rule", "statistic"))
+
+
+@query()
+def stream_status_counts(spark, d):
+    """Events per hour and type that the watermark has closed."""
+    return _run_stream(spark, monitor.status_counts(_event_stream(spark, d), "ts", "event_type"), "counts")
+
+
+# --- further lists and labels ------------------------------------------------
+
+
+@query(
+    f"WITH i AS ({standins.ORDER_INCIDENTS}), p AS ({standins.PROJECTS}) SELECT id, machine, severite FROM i WHERE id IN (SELECT id FROM p WHERE statut = 'valide')"
+)
+def incident_lookup(spark, d):
+    """Batch of point lookups."""
+    wanted = frame(spark, d, standins.PROJECTS).where("statut = 'valide'")
+    return store.lookup(frame(spark, d, standins.ORDER_INCIDENTS), wanted).select("id", "machine", "severite")
+
+
+@query(
+    f"WITH i AS ({standins.ORDER_INCIDENTS}) SELECT id, strftime(cree_le, '%Y-%m-%d') AS jour, machine FROM i WHERE statut = 'brut' ORDER BY cree_le DESC, id DESC LIMIT 50"
+)
+def newest_incidents(spark, d):
+    rows = store.list_rows(store.open_incidents(frame(spark, d, standins.ORDER_INCIDENTS)), "incidents", statut="brut")
+    return rows.limit(50).select("id", F.date_format("cree_le", "yyyy-MM-dd").alias("jour"), "machine")
+
+
+@query(
+    "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS timestamp, o_orderstatus AS ligne FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50"
+)
+def newest_defects(spark, d):
+    defects = read_table(spark, f"{d}/orders.parquet").select(
+        F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp"), F.col("o_orderstatus").alias("ligne")
+    )
+    return store.list_defects(defects, 50, "F")
+
+
+@query(
+    "WITH md AS (SELECT event_type, median(value) AS md FROM events GROUP BY event_type) SELECT event_id, round(value - md, 6) AS delta, "
+    "round(CASE WHEN md <> 0 THEN (value - md) / md * 100 ELSE 0 END, 6) AS delta_pct FROM events e JOIN md ON md.event_type = e.event_type"
+)
+def median_deviation(spark, d):
+    """Every sample against the exact median of its series."""
+    from plantlens.operators.ranks import exact_medians
+    from plantlens.session import join_small
+
+    rows = read_table(spark, f"{d}/events.parquet").select("event_id", "event_type", "value")
+    joined = join_small(rows, exact_medians(rows, ["event_type"], "value"), ["event_type"])
+    return rounded(joined.select("event_id", *autofill.deviation_from_median("value", "median")))
+
+
+@query(
+    f"WITH n AS (SELECT conv_id, turn, regexp_extract_all(translate(lower(text), {quoted(FOLD_SIMILARITY[0])}, {quoted(FOLD_SIMILARITY[1])}), '[a-z0-9]{{2,}}') AS w FROM conversations), "
+    f"t AS (SELECT conv_id, turn, t, count(*) AS c FROM (SELECT conv_id, turn, unnest(w) AS t FROM n) WHERE t NOT IN ({_STOP}) GROUP BY 1, 2, 3), "
+    "s AS (SELECT conv_id, turn, sqrt(sum(c * c)) AS norm FROM t GROUP BY 1, 2), dt AS (SELECT a.conv_id, a.turn, sum(a.c * b.c) AS dot FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 AND a.t = b.t GROUP BY 1, 2) "
+    "SELECT n.conv_id, n.turn, round(coalesce(dot / (a.norm * b.norm), 0), 6) AS similarity FROM n LEFT JOIN dt ON dt.conv_id = n.conv_id AND dt.turn = n.turn "
+    "LEFT JOIN s a ON a.conv_id = n.conv_id AND a.turn = n.turn LEFT JOIN s b ON b.conv_id = n.conv_id AND b.turn = n.turn - 1 WHERE n.turn > 0"
+)
+def turn_similarity(spark, d):
+    """Word-count cosine of each answer with the one before it."""
+    turns = read_table(spark, f"{d}/conversations.parquet").select("conv_id", "turn", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("previous"))
+    pairs = turns.join(before, ["conv_id", "turn"])
+    return rounded(similarity.text_similarity(pairs, ["conv_id", "turn"], "text", "previous"))
+
+
+@query(
+    f"WITH sensors AS ({standins.SENSORS}), {_rank_sql('sensors', ['k', 'patchy', 'user_id'], 'value', 'event_type')} "
+    "SELECT s AS event_type, parameter AS parametre, CAST(n AS VARCHAR) AS n, format('{:.2f}', pr) AS pearson FROM co"
+)
+def report_correlations(spark, d):
+    """Correlation rows as printed, per sensor series."""
+    table = losses.correlations(sensors(spark, d), ["k", "patchy", "user_id"], "value", ["event_type"])
+    return table.select("event_type", F.substring("parameter", 1, 28).alias("parametre"), F.col("n").cast("string").alias("n"), report.decimals("pearson_r", 2).alias("pearson"))
+
+
+@query(
+    "WITH v AS (SELECT event_type, count(*) FILTER (WHERE value > 200) AS violations FROM events GROUP BY event_type) "
+    "SELECT event_type, violations, CASE WHEN violations >= 3 THEN 'danger' WHEN violations > 0 THEN 'warn' ELSE 'ok' END AS badge, "
+    "CASE WHEN violations > 0 THEN 'down' ELSE 'up' END AS trend, CASE WHEN violations > 0 THEN violations || ' a traiter' ELSE 'Processus stable' END AS libelle FROM v"
+)
+def alert_badges(spark, d):
+    counted = read_table(spark, f"{d}/events.parquet").groupBy("event_type").agg(F.count_if(F.col("value") > 200).alias("violations"))
+    return counted.select("event_type", "violations", spc.alert_badge().alias("badge"), *spc.alert_trend("violations"))

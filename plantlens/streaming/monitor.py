@@ -45,9 +45,12 @@ def _advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFra
 def monitor(samples: DataFrame, baseline: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Alerts of a stream of samples ``series, parameter, ts, value``.
 
-    The state per (series, parameter) is three numbers, however long the stream runs.
+    The state per (series, parameter) is three numbers, however long the stream runs.  The samples
+    of one micro-batch are brought into time order per series, so the source's rate options
+    (``maxFilesPerTrigger`` and the like) bound what a task holds.
     """
-    live = with_limits(samples.withWatermark("ts", watermark), baseline)
+    timed = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    live = with_limits(timed, baseline)
     return live.groupBy("series", "parameter").applyInPandasWithState(
         _advance, ALERT_SCHEMA, STATE_SCHEMA, "append", "NoTimeout"
     )
@@ -56,7 +59,8 @@ def monitor(samples: DataFrame, baseline: DataFrame, watermark: str = "10 minute
 def status_counts(rows: DataFrame, ts: str, status: str, width: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
     """Incidents or votes per time window and status."""
     return (
-        rows.withWatermark(ts, watermark)
+        rows.withColumn(ts, F.col(ts).cast("timestamp"))
+        .withWatermark(ts, watermark)
         .groupBy(F.window(ts, width).alias("_w"), F.col(status).alias("statut"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("_w.start").alias("window_start"), "statut", "n")

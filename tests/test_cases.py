@@ -153,8 +153,14 @@ def test_small_text_helpers(spark):
     got = df.select(text.stars("c").alias("s"), text.shorten("t").alias("t")).collect()
     assert [r.s for r in got] == ["★★☆☆☆", "★★★★☆", "★★★★★"]
     assert len(got[0].t) == 140 and got[0].t.endswith("...") and got[1].t == "court"
-    pair = spark.createDataFrame([("panne moteur moteur", "moteur casse")], "a string, b string")
-    assert pair.select(similarity.text_similarity("a", "b").alias("s")).first().s == pytest.approx(2 / (math.sqrt(5) * math.sqrt(2)))
+    pair = spark.createDataFrame([(1, "panne moteur moteur", "moteur casse"), (2, None, "x y z")], "id int, a string, b string")
+    got = {r.id: r.similarity for r in similarity.text_similarity(pair, ["id"], "a", "b").collect()}
+    assert got[1] == pytest.approx(2 / (math.sqrt(5) * math.sqrt(2))) and got[2] == 0.0
+    df = spark.createDataFrame([("M1", "é", "haute", "m1", "É", "faible"), (None, "a", None, None, "b", "haute")], "m string, t string, s string, m2 string, t2 string, s2 string")
+    left = {"machine": F.col("m"), "type_incident": F.col("t"), "cree_par_role": F.lit("")}
+    right = {"machine": F.col("m2"), "type_incident": F.col("t2"), "cree_par_role": F.lit("")}
+    rows = df.select(similarity.categorical_similarity(left, right).alias("c"), similarity.numeric_similarity(F.col("s"), F.col("s2")).alias("n")).collect()
+    assert [r.c for r in rows] == pytest.approx([2 / 2.4, 0.0]) and [r.n for r in rows] == pytest.approx([1 / 3, 0.5])
 
 
 def test_similarity_equals_pairwise_formula(spark, monkeypatch):
