@@ -16,6 +16,7 @@ from plantlens.functions.vocab import (
     TREE_BRANCHES,
 )
 from plantlens.operators.similarity import find_similar
+from plantlens.session import materialize
 from plantlens.sources import store
 
 # --- feedback ----------------------------------------------------------------
@@ -172,7 +173,7 @@ def generate_trees(
 ) -> DataFrame:
     """Why-trees of a batch of incidents: per branch the best past chain, else the template."""
     similar = find_similar(new_cases, history, top_k_similar, min_similarity, exclude_self, same_tenant)
-    paths = best_paths(similar, projects, nodes, feedback)
+    paths = materialize(best_paths(similar, projects, nodes, feedback))  # at most five rows per case, used twice
     past = paths.join(nodes.drop("source_cas_id", "similarite_cas"), ["projet_id", "branche_m"]).select(
         "case_id", "branche_m", F.col("niveau").cast("int").alias("niveau"), "question", "reponse",
         (F.col("confidence") * F.col("similarity")).alias("confidence"), "type_noeud", "est_cause_racine",

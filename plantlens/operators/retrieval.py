@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plantlens.functions.text import case_text, grams, pairs_of
 from plantlens.operators.matching import Weighting, best_matches
+from plantlens.session import join_small
 
 MAX_FEATURES = 5000
 MIN_HISTORY = 3
@@ -84,7 +85,7 @@ class TextEngine:
             "query_id", "rank", F.from_json("_cause", "b string, c string").alias("_c"),
             F.col("score").alias("confidence"), "source_case_id",
         )
-        return found.join(about, "source_case_id").select(
+        return join_small(about, found, ["source_case_id"]).select(
             "query_id", "rank", F.col("_c.b").alias("branch"), F.col("_c.c").alias("cause"), "confidence",
             "source_case_id",
             F.concat(

@@ -795,7 +795,7 @@ _NODE_SQL = (
 @query(
     _NODE_SQL + "SELECT doc_id, CAST(niveau AS BIGINT) AS niveau, CASE WHEN len(b) > 0 THEN 'cause_directe' ELSE kind END AS type, "
     "CASE CASE WHEN len(b) > 0 THEN 'cause_directe' ELSE kind END WHEN 'cause_racine' THEN 'Cause racine' WHEN 'condition' THEN 'Condition' WHEN 'symptome' THEN 'Symptome' ELSE 'Cause directe' END AS type_label, "
-    "round(CASE kind WHEN 'cause_racine' THEN least(1.0, 0.7 + 0.1 * len(r)) WHEN 'cause_directe' THEN 0.55 ELSE 0.6 END, 6) AS confidence, "
+    "round(CAST(CASE kind WHEN 'cause_racine' THEN least(1.0, 0.7 + 0.1 * len(r)) WHEN 'cause_directe' THEN 0.55 ELSE 0.6 END AS DOUBLE), 6) AS confidence, "
     "len(b) = 0 AND kind = 'cause_racine' AS is_root, len(b) > 0 AS is_blame, len(b) = 0 AND (kind = 'cause_racine' OR (niveau >= 5 AND kind = 'cause_directe')) AS should_stop, "
     f"CASE WHEN len(b) > 0 THEN '{STOP_REASONS['blame']}' WHEN kind = 'cause_racine' THEN '{STOP_REASONS['root']}' "
     f"WHEN niveau >= 5 AND kind = 'cause_directe' THEN '{STOP_REASONS['deep']}' ELSE '{STOP_REASONS['go_on']}' END AS raison_arret, "
@@ -1330,10 +1330,14 @@ def stream_monitor(spark, d):
     return rounded(alerts.select("series", "rule", "statistic"))
 
 
-@query()
+@query(
+    "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS heure, event_type AS statut, count(*) AS n FROM events "
+    "WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2"
+)
 def stream_status_counts(spark, d):
     """Events per hour and type that the watermark has closed."""
-    return _run_stream(spark, monitor.status_counts(_event_stream(spark, d), "ts", "event_type"), "counts")
+    closed = _run_stream(spark, monitor.status_counts(_event_stream(spark, d), "ts", "event_type"), "counts")
+    return closed.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("heure"), "statut", "n")
 
 
 # --- further lists and labels ------------------------------------------------
