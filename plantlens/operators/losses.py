@@ -45,6 +45,16 @@ def ppm(df: DataFrame, defects: str, volume: str | float, by: Sequence = ()) ->
     return table.withColumn("ppm", value).drop("_given", "_numeric")
 
 
+def ppm_by_period(df: DataFrame, ts: str, defects: str, volume: str, first_days: int = 10, last_days: int = 7) -> DataFrame:
+    """Defect rate in the first days, the last days and between them."""
+    kind = df.schema[ts].dataType
+    bounds = df.agg(F.min(ts).cast("string").alias("lo"), F.max(ts).cast("string").alias("hi")).first()
+    start = F.lit(bounds["lo"]).cast(kind) + F.expr(f"INTERVAL {first_days} DAY")
+    end = F.lit(bounds["hi"]).cast(kind) - F.expr(f"INTERVAL {last_days} DAY")
+    period = F.when(F.col(ts) < start, "debut").when(F.col(ts) >= end, "fin").otherwise("milieu")
+    return ppm(df.withColumn("period", period), defects, volume, ["period"])
+
+
 def specs_frame(spark, specs: dict[str, tuple[float, float]]) -> DataFrame:
     rows = [(p, float(lo), float(hi)) for p, (lo, hi) in specs.items()]
     return spark.createDataFrame(rows, "parameter string, lsl double, usl double")

@@ -195,11 +195,11 @@ def spc_alerts(spark, d):
 
 @query(
     ALERT_SQL + "SELECT s AS event_type, parameter, CASE WHEN crit >= 1 OR violations >= 3 THEN 'danger' ELSE 'warn' END AS severity, "
-    "violations, round(crit, 6) AS criticality FROM j ORDER BY crit DESC, s, parameter LIMIT 4"
+    "violations, round(crit, 6) AS criticality FROM j ORDER BY crit DESC, s, parameter LIMIT 12"
 )
 def spc_alerts_top(spark, d):
     control = spc.shewhart(sensors(spark, d), ["value", "k", "patchy"], ["event_type"])
-    return rounded(spc.alerts(control, ["event_type"], 4).drop("message"))
+    return rounded(spc.alerts(control, ["event_type"], 12).drop("message"))
 
 
 @query(
@@ -345,14 +345,7 @@ _PERIOD = "CASE WHEN l_shipdate < lo + INTERVAL 10 DAY THEN 'debut' WHEN l_shipd
 )
 def ppm_by_period(spark, d):
     """Defect rate in the first ten and last seven days."""
-    rows = lineitem(spark, d)
-    bounds = rows.agg(F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi")).first()
-    marked = rows.select(
-        "l_tax", "l_quantity",
-        F.when(F.col("l_shipdate") < F.lit(bounds["lo"]) + F.expr("INTERVAL 10 DAY"), "debut")
-        .when(F.col("l_shipdate") >= F.lit(bounds["hi"]) - F.expr("INTERVAL 7 DAY"), "fin").otherwise("milieu").alias("period"),
-    )
-    return rounded(losses.ppm(marked, "l_tax", "l_quantity", ["period"]), 4)
+    return rounded(losses.ppm_by_period(lineitem(spark, d), "l_shipdate", "l_tax", "l_quantity"), 4)
 
 
 def _rank_sql(table: str, params, defect: str, by: str) -> str:
@@ -400,7 +393,7 @@ def loss_analysis(spark, d):
 # --- shifts ------------------------------------------------------------------
 
 
-@query(
+_KRUSKAL = (
     "WITH long AS (" + " UNION ALL ".join(f"SELECT l_returnflag AS shift, '{p}' AS parameter, {p} AS v FROM lineitem" for p in PARAMETERS)
     + ") SELECT shift, parameter, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, "
     "round(stddev_samp(v) / abs(avg(v)), 6) AS cv FROM long GROUP BY shift, parameter"
@@ -416,21 +409,28 @@ def shift_stability(spark, d):
     "FROM long JOIN ok ON long.shift = ok.shift AND long.parameter = ok.parameter), "
     "gr AS (SELECT parameter, shift, count(*) AS n, sum(r) AS sr FROM rk GROUP BY 1, 2), "
     "h AS (SELECT parameter, count(*) AS k, CAST(sum(n) AS DOUBLE) AS nn, sum(sr * sr / n) AS q FROM gr GROUP BY parameter), "
-    "ti AS (SELECT parameter, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM (SELECT parameter, v, count(*) AS t FROM rk GROUP BY 1, 2) GROUP BY 1) "
-    "SELECT h.parameter, k AS n_shifts, round((12 / (nn * (nn + 1)) * q - 3 * (nn + 1)) / (1 - ties / (nn * nn * nn - nn)), 4) AS h_statistic "
-    "FROM h JOIN ti ON h.parameter = ti.parameter"
+    "ti AS (SELECT parameter, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM (SELECT parameter, v, count(*) AS t FROM rk GROUP BY 1, 2) GROUP BY 1), "
+    "kw AS (SELECT h.parameter, k AS n_shifts, (12 / (nn * (nn + 1)) * q - 3 * (nn + 1)) / (1 - ties / (nn * nn * nn - nn)) AS h FROM h JOIN ti ON h.parameter = ti.parameter)"
 )
+
+
+@query(f"{_KRUSKAL} SELECT parameter, n_shifts, round(h, 4) AS h_statistic FROM kw")
 def shift_kruskal(spark, d):
     """Kruskal-Wallis statistic between shifts."""
     table = shifts.compare_shifts(lineitem(spark, d), "l_returnflag", PARAMETERS)
     return rounded(table.select("parameter", "n_shifts", "h_statistic"), 4)
 
 
-@query()
+# three shifts: the tail of the chi-squared distribution with two degrees of freedom is exp(-h / 2)
+@query(
+    f"{_KRUSKAL} SELECT 'l_returnflag' AS shift_column, parameter, n_shifts, round(h, 4) AS h_statistic, round(exp(-h / 2), 6) AS p_value, "
+    "exp(-h / 2) < 0.05 AS significatif_5pct FROM kw"
+)
 def shift_comparison(spark, d):
     """Detected shift column, test, p-value and verdict."""
     found = analysis.analyze_shifts(lineitem(spark, d), PARAMETERS)
-    return found.comparison.withColumn("shift_column", F.lit(found.shift_column))
+    table = found.comparison.withColumn("shift_column", F.lit(found.shift_column))
+    return table.withColumns({"h_statistic": F.round("h_statistic", 4) + 0.0, "p_value": F.round("p_value", 6) + 0.0})
 
 
 # --- quality -----------------------------------------------------------------
@@ -1051,11 +1051,11 @@ def appended_actions(spark, d):
 
 
 @query(
-    f"WITH a AS ({standins.ACTIONS}) SELECT id, projet_id, CAST(priorite AS BIGINT) AS priorite, statut FROM a WHERE statut = 'bloque' ORDER BY priorite, cree_le DESC, id DESC LIMIT 20"
+    f"WITH a AS ({standins.ACTIONS}) SELECT id, projet_id, CAST(priorite AS BIGINT) AS priorite, statut FROM a WHERE statut = 'bloque'"
 )
 def list_actions(spark, d):
     rows = store.list_rows(frame(spark, d, standins.ACTIONS), "actions", statut="bloque")
-    return rounded(rows.select("id", "projet_id", "priorite", "statut").limit(20))
+    return rounded(rows.select("id", "projet_id", "priorite", "statut"))
 
 
 @query(
@@ -1353,11 +1353,11 @@ def incident_lookup(spark, d):
 
 
 @query(
-    f"WITH i AS ({standins.ORDER_INCIDENTS}) SELECT id, strftime(cree_le, '%Y-%m-%d') AS jour, machine FROM i WHERE statut = 'brut' ORDER BY cree_le DESC, id DESC LIMIT 50"
+    f"WITH i AS ({standins.ORDER_INCIDENTS}) SELECT id, strftime(cree_le, '%Y-%m-%d') AS jour, machine FROM i WHERE statut = 'brut'"
 )
 def newest_incidents(spark, d):
     rows = store.list_rows(store.open_incidents(frame(spark, d, standins.ORDER_INCIDENTS)), "incidents", statut="brut")
-    return rows.limit(50).select("id", F.date_format("cree_le", "yyyy-MM-dd").alias("jour"), "machine")
+    return rows.select("id", F.date_format("cree_le", "yyyy-MM-dd").alias("jour"), "machine")
 
 
 @query(
