@@ -393,7 +393,7 @@ def loss_analysis(spark, d):
 # --- shifts ------------------------------------------------------------------
 
 
-_KRUSKAL = (
+@query(
     "WITH long AS (" + " UNION ALL ".join(f"SELECT l_returnflag AS shift, '{p}' AS parameter, {p} AS v FROM lineitem" for p in PARAMETERS)
     + ") SELECT shift, parameter, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, "
     "round(stddev_samp(v) / abs(avg(v)), 6) AS cv FROM long GROUP BY shift, parameter"
@@ -402,7 +402,7 @@ def shift_stability(spark, d):
     return rounded(shifts.shift_stability(lineitem(spark, d), "l_returnflag", PARAMETERS))
 
 
-@query(
+_KRUSKAL = (
     "WITH long AS (" + " UNION ALL ".join(f"SELECT l_returnflag AS shift, '{p}' AS parameter, {p} AS v FROM lineitem" for p in PARAMETERS)
     + "), ok AS (SELECT shift, parameter FROM long GROUP BY 1, 2 HAVING count(*) >= 3), "
     "rk AS (SELECT long.*, rank() OVER (PARTITION BY long.parameter ORDER BY v) + (count(*) OVER (PARTITION BY long.parameter, v) - 1) / 2.0 AS r "
