@@ -224,6 +224,16 @@ def running_total(
     )
 
 
-def take_first(df: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
-    """First ``rows`` samples by the order key (a distributed top-k, never a full sort)."""
-    return df.orderBy(*order).limit(rows)
+def first_values(df: DataFrame, columns: Sequence[str], order: Sequence[str], k: int, look: int = 1000) -> dict[str, list]:
+    """First ``k`` present values of each column along the order key.
+
+    One distributed top-``look`` serves all columns; only a column with fewer than ``k`` values
+    in there gets a top-``k`` of its own.
+    """
+    head = df.orderBy(*order).limit(look).select(*[f"`{c}`" for c in columns]).collect()
+    found = {c: [r[c] for r in head if r[c] is not None][:k] for c in columns}
+    if len(head) == look:
+        for c in [c for c in columns if len(found[c]) < k]:
+            rows = df.where(F.col(f"`{c}`").isNotNull()).orderBy(*order).limit(k).select(f"`{c}`").collect()
+            found[c] = [r[0] for r in rows]
+    return found
