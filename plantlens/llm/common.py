@@ -198,22 +198,31 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+_PLACE_BITS = np.uint64(26)
+
+
 def anchors(grams: np.ndarray, windows_ok: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sampled grams: the (leftmost) least of every ``width`` consecutive grams of an allowed window.
 
-    Returns gram positions and, for each, the first and last window that chose it.  Equal windows
-    choose at the same place, so two equal windows always share a sampled gram.
+    Returns gram positions and, for each, the first and last window that chose it.  Equal windows choose at
+    the same place, so two equal windows always share a sampled gram.  The upper 38 bits of a hash decide,
+    then the place, in stretches of 2^26 grams.
     """
-    if len(grams) < width:
+    stretch = (1 << 26) - width
+    parts = []
+    for at in range(0, max(len(grams) - width + 1, 0), stretch):
+        some = grams[at : at + stretch + width - 1]
+        order = (some >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(some), dtype=np.uint64)
+        chosen = (sliding_least(order, width) & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+        windows = np.flatnonzero(windows_ok[at : at + len(chosen)])
+        chosen = chosen[windows]
+        cut = np.flatnonzero((np.diff(chosen, prepend=-1) != 0) | (np.diff(windows, prepend=-2) != 1))
+        last = windows[np.append(cut[1:], len(windows)) - 1] if len(cut) else windows[:0]
+        parts.append((chosen[cut] + at, windows[cut] + at, last + at))
+    if not parts:
         none = np.zeros(0, np.int64)
         return none, none, none
-    places = np.uint64(max(int(len(grams)), 2).bit_length())
-    order = (grams >> places << places) | np.arange(len(grams), dtype=np.uint64)
-    chosen = (sliding_least(order, width) & ((np.uint64(1) << places) - np.uint64(1))).astype(np.int64)
-    windows = np.flatnonzero(windows_ok[: len(chosen)])
-    chosen = chosen[windows]
-    cut = np.flatnonzero((np.diff(chosen, prepend=-1) != 0) | (np.diff(windows, prepend=-2) != 1))
-    return chosen[cut], windows[cut], windows[np.append(cut[1:], len(windows)) - 1] if len(cut) else windows[:0]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def covered(length: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Words, word pairs and character n-grams (bytes within a word) are hashed into one table of learned vectors; a
+Words, word pairs (a repeated word also as one such), and character n-grams (bytes within a word) are hashed into one table of learned vectors; a
 document is their average; a softmax over the two classes is trained with it by stochastic gradient descent
 in numpy.  Training uses a bounded sample of labelled rows (``SAMPLE`` documents, whole texts) inside one
 task.  Scoring is linear in the average, so each vector is reduced once to its contribution and every text
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import RollingHash, Words, byte_hash, keyed, text_groups
+from plantlens.llm.common import RollingHash, Words, byte_hash, keyed, mix_int, text_groups
 
 BUCKETS = 1 << 18
 DIM = 12
@@ -25,6 +25,7 @@ SAMPLE = 6000
 EPOCHS = 4
 RATE = 0.5
 BATCH = 32
+ECHO = np.uint64(mix_int(35))
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,6 +37,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         same = words.doc[1:] == words.doc[:-1]
         kinds.append(RollingHash(whole).windows(2)[same])
         docs.append(words.doc[1:][same])
+        # a word that follows itself is one feature whatever the word, as rare words have no vector of their own
+        echo = same & (whole[1:] == whole[:-1])
+        kinds.append(np.full(int(echo.sum()), ECHO, np.uint64))
+        docs.append(words.doc[1:][echo])
     inside = np.zeros(len(data), np.int32)
     lengths = words.end - words.start
     # bytes left in the word at each place, 0 on white space
