@@ -164,7 +164,9 @@ class Words:
         return byte_hash(self.data).slices(self.start, self.end)
 
 
-def text_groups(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def text_groups(
+    batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES, most_rows: int = 1 << 30
+) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Slices of a batch with at most ``most`` bytes of text (or one text), as bytes and offsets.  No nulls allowed."""
     array = batch.column(column)
     if isinstance(array, pa.ChunkedArray):
@@ -175,7 +177,7 @@ def text_groups(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_B
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(array):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        to = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1), at + most_rows)
         yield slice(at, to), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 

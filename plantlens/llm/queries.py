@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import exact_dedup, mixing, quality, substring, suffix_index, url_filter
+from plantlens.llm import exact_dedup, jaccard, mixing, quality, substring, suffix_index, url_filter
 from plantlens.llm.common import table
 
 URL_RULES = [
@@ -49,6 +49,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
 }
 
