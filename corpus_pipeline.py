@@ -6,9 +6,9 @@ import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantlens.llm import exact_dedup, mixing, quality
+from plantlens.llm import exact_dedup, jaccard, mixing, quality, sentencepiece_fst
 from plantlens.llm.common import stored, table
-from plantlens.llm.queries import quality_model
+from plantlens.llm.queries import SENTENCEPIECE_MODEL, quality_model
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,15 +21,27 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_duplicates(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is connected by a Jaccard similarity of 0.85 or more of four-word shingles."""
+    return jaccard.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them."""
     return mixing.mix_documents(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, with the hash of what they decode to."""
+    return sentencepiece_fst.encode_documents(docs, sentencepiece_fst.read_model(SENTENCEPIECE_MODEL))
+
+
 STAGES = [
     ("quality classifier", keep_quality),
     ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
     ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode),
 ]
 
 # The classifier and the seeded draws have no SQL form; tests compare the stages with brute force.

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import embeddings, exact_dedup, jaccard, maxent, mixing, quality, substring, suffix_index, url_filter
+from plantlens.llm import embeddings, exact_dedup, jaccard, maxent, mixing, quality, sentencepiece_fst, substring, suffix_index, url_filter
 from plantlens.llm.common import table
 
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
 ]
@@ -44,6 +45,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = SENTENCEPIECE_MODEL) -> DataFrame:
+    return sentencepiece_fst.encode_documents(table(spark, sf_dir, "documents"), sentencepiece_fst.read_model(model_path))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality": op4_quality,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_jaccard_join": op8_jaccard_join,

@@ -32,7 +32,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 META = 0x2581
 # Stretches that a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+# Slots of the table in which steps of the bigram acceptor are looked up first.
+SLOT_BITS = 20
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -98,6 +100,7 @@ class Transducer:
         self.out_bytes = np.frombuffer(b"".join(outputs), np.uint8)
         self._forget()
         self.pair_keys, self.pair_good = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.slot_keys, self.slot_good = np.full(1 << SLOT_BITS, -1), np.zeros(1 << SLOT_BITS, bool)
 
     def _compile(self, texts: list[str], scores: list[float], normal: list[int]) -> None:
         letters = sorted({c for i in normal for c in texts[i]})
@@ -146,8 +149,8 @@ class Transducer:
         self.spelled_size = (self.spelling >= 0).sum(axis=1)
 
     def _forget(self) -> None:
-        self.known, self.known_first, self.known_size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.known_ids = np.zeros(0, np.int64)
+        self.known, self.known_first, self.known_size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.known_ids = np.zeros(0, np.int32)
 
     def _merged(self, symbols: np.ndarray, goal: np.ndarray) -> np.ndarray:
         """Whether merging the rows of symbols (-1: none) ends in ``goal`` symbols cut after the first part's length."""
@@ -189,6 +192,20 @@ class Transducer:
         """Whether step left -> right of the bigram acceptor is free."""
         wide = self.size + self.letters
         key = left * wide + right
+        slot = (mix(key.view(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        out = self.slot_good[slot]
+        lost = np.flatnonzero(self.slot_keys[slot] != key)
+        if len(lost):
+            out[lost] = self._steps(key[lost])
+            self.slot_keys[slot[lost]] = key[lost]
+            # of several keys of a slot, the one that stays brings its own value
+            self.slot_good[slot[lost]] = out[lost]
+            stays = self.slot_keys[slot[lost]] == key[lost]
+            self.slot_good[slot[lost][stays]] = out[lost][stays]
+        return out
+
+    def _steps(self, key: np.ndarray) -> np.ndarray:
+        wide = self.size + self.letters
         at = np.minimum(np.searchsorted(self.pair_keys, key), max(len(self.pair_keys) - 1, 0))
         missing = self.pair_keys[at] != key if len(self.pair_keys) else np.ones(len(key), bool)
         if missing.any():
@@ -202,9 +219,8 @@ class Transducer:
             rows = np.where(in_a, self.spelling[a[:, None], np.minimum(places, width)], -1)
             rows = np.where(in_b, self.spelling[b[:, None], np.clip(places - size_a[:, None], 0, width)], rows)
             good = self._merged(rows, size_a)
-            keys = np.concatenate([self.pair_keys, new])
-            order = np.argsort(keys, kind="stable")
-            self.pair_keys, self.pair_good = keys[order], np.concatenate([self.pair_good, good])[order]
+            into = np.searchsorted(self.pair_keys, new)
+            self.pair_keys, self.pair_good = np.insert(self.pair_keys, into, new), np.insert(self.pair_good, into, good)
             at = np.searchsorted(self.pair_keys, key)
         return self.pair_good[at]
 
@@ -302,14 +318,13 @@ class Transducer:
             flat = np.repeat(first - stops[:-1], size) + np.arange(stops[-1])
             word, count = self._paths(letters[flat], stops)
             ids, id_count = self._outputs(word, count, codes[flat], stops)
-            hashes = np.concatenate([self.known, different[new]])
-            order = np.argsort(hashes, kind="stable")
-            starts = np.concatenate([self.known_first, len(self.known_ids) + np.cumsum(id_count) - id_count])
-            self.known, self.known_first = hashes[order], starts[order]
-            self.known_size = np.concatenate([self.known_size, id_count])[order]
-            self.known_ids = np.concatenate([self.known_ids, ids])
+            into = np.searchsorted(self.known, different[new])
+            self.known_first = np.insert(self.known_first, into, len(self.known_ids) + np.cumsum(id_count) - id_count)
+            self.known_size = np.insert(self.known_size, into, id_count)
+            self.known = np.insert(self.known, into, different[new])
+            self.known_ids = np.concatenate([self.known_ids, ids.astype(np.int32)])
         place = np.searchsorted(self.known, different)[which]
-        count, first = self.known_size[place], self.known_first[place]
+        count, first = self.known_size[place].astype(np.int64), self.known_first[place]
         ends = np.cumsum(count)
         ids = self.known_ids[np.repeat(first - ends + count, count) + np.arange(ends[-1])]
         totals = np.concatenate([[0], ends])
