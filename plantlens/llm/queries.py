@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import embeddings, exact_dedup, jaccard, maxent, mixing, quality, sentencepiece_fst, substring, suffix_index, url_filter
+from plantlens.llm import embeddings, exact_dedup, jaccard, maxent, mixing, oracle, quality, sentencepiece_fst, substring, suffix_index, url_filter
 from plantlens.llm.common import table
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -88,10 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
-    "op6_exact_dedup": """
-        with d as (select doc_id, coalesce(text, '') as t from documents),
-        g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
-        select d.doc_id, g.keep_id, g.group_size, d.doc_id is not distinct from g.keep_id as kept, sha256(d.t) as text_sha256
-        from d join g on d.t = g.t
-    """,
+    "op1_substring_dedup": oracle.OP1,
+    "op3_suffix_dedup": oracle.OP3,
+    "op6_exact_dedup": oracle.OP6,
+    "op8_jaccard_join": oracle.OP8,
+    "op9_url_filter": oracle.op9(URL_RULES),
+    "op10_embedding_dedup": oracle.OP10,
 }
