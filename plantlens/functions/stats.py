@@ -1,21 +1,26 @@
 """Tail probabilities and the Shapiro-Wilk test, for one-row-per-parameter tables.
 
-Spark has no distribution functions; these run as Arrow-batched pandas UDFs over result rows
-(never over samples), except Shapiro-Wilk, whose input is limited to 5000 samples by definition.
+Spark has no distribution functions; these run as Arrow-batched pandas UDFs over result rows.  The
+normal scores of the Shapiro-Wilk test depend on places only, so they are summed over stretches of places
+of bounded length and the test itself is computed from a handful of sums, whatever the number of samples.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 SHAPIRO_MIN_N = 3
-SHAPIRO_MAX_N = 5000
+# Places whose normal scores one UDF row sums.
+SCORES_PER_ROW = 65_536
+# Relative accuracy of the continued fraction; it takes about sqrt(degrees of freedom) steps.
+FRACTION_ACCURACY = 1e-15
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -24,7 +29,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 100_000):
+    for m in itertools.count(1):
         for num in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -35,7 +40,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             delta = c * d
             h *= delta
-        if abs(delta - 1.0) < 1e-15:
+        if abs(delta - 1.0) < FRACTION_ACCURACY:
             break
     return h
 
@@ -60,10 +65,7 @@ def correlation_tail(r: float, n: float) -> float:
     r2 = min(1.0, r * r)
     if r2 >= 1.0:
         return 0.0
-    dof = n - 2.0
-    if dof > 1e6:  # the t distribution is normal to ~1e-7 here
-        return math.erfc(math.sqrt(r2 * dof / (1.0 - r2) / 2.0))
-    return regularized_beta(dof / 2.0, 0.5, 1.0 - r2)
+    return regularized_beta((n - 2.0) / 2.0, 0.5, 1.0 - r2)
 
 
 def chi2_tail(x: float, dof: int) -> float:
@@ -103,35 +105,36 @@ def _poly(coefficients, x: float) -> float:
     return float(np.polynomial.polynomial.polyval(x, coefficients))
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """Shapiro-Wilk W and p-value (Royston 1995) for 3 <= n <= 5000 samples."""
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    if n < SHAPIRO_MIN_N or n > SHAPIRO_MAX_N or x[-1] - x[0] < 1e-300:
+_NORMAL = NormalDist()
+
+
+def normal_score(place: int, n: float) -> float:
+    """Expected value (Blom) of the ``place``-th smallest of n standard normal samples."""
+    return _NORMAL.inv_cdf((place - 0.375) / (n + 0.25))
+
+
+def shapiro_from_sums(n: int, cross: float, square: float, spread: float, ends: tuple[float, float, float, float]) -> tuple[float, float]:
+    """Shapiro-Wilk W and p-value (Royston 1995) of n >= 3 samples from sums over all places.
+
+    ``cross`` is the sum of normal score times sample, ``square`` of squared scores, ``spread`` of squared deviations
+    of the samples; ``ends`` are the smallest, second, last but one and largest sample.
+    """
+    if n < SHAPIRO_MIN_N or not spread > 1e-300:
         return math.nan, math.nan
-    normal = NormalDist()
+    x1, x2, y2, y1 = ends
     if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    else:
-        m = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-        square, u = float(m @ m), 1.0 / math.sqrt(n)
-        a = m / math.sqrt(square)
-        last = _poly(_C1, u) + a[-1]
-        if n > 5:
-            second = _poly(_C2, u) + a[-2]
-            scale = (square - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-        else:
-            second = None
-            scale = (square - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-        a = m / math.sqrt(scale)
-        a[-1], a[0] = last, -last
-        if second is not None:
-            a[-2], a[1] = second, -second
-    centered = x - x.mean()
-    w = min(1.0, float((a @ x) ** 2 / (centered @ centered)))
-    if n == 3:
-        p = 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, min(1.0, max(0.0, p))
+        w = min(1.0, 0.5 * (y1 - x1) ** 2 / spread)
+        return w, min(1.0, max(0.0, 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
+    m1, m2, u = normal_score(n, n), normal_score(n - 1, n), 1.0 / math.sqrt(n)
+    last = _poly(_C1, u) + m1 / math.sqrt(square)
+    inner, rest, kept = cross - m1 * (y1 - x1), square - 2 * m1**2, 1 - 2 * last**2
+    total = last * (y1 - x1)
+    if n > 5:
+        second = _poly(_C2, u) + m2 / math.sqrt(square)
+        inner, rest, kept = inner - m2 * (y2 - x2), rest - 2 * m2**2, kept - 2 * second**2
+        total += second * (y2 - x2)
+    total += inner / math.sqrt(rest / kept)
+    w = min(1.0, total**2 / spread)
     if w >= 1.0:
         return w, 1.0
     y, log_n = math.log(1.0 - w), math.log(n)
@@ -142,7 +145,34 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
         y, mean, sd = -math.log(gamma - y), _poly(_C3, n), math.exp(_poly(_C4, n))
     else:
         mean, sd = _poly(_C5, log_n), math.exp(_poly(_C6, log_n))
-    return w, 1.0 - normal.cdf((y - mean) / sd)
+    return w, 0.5 * math.erfc((y - mean) / sd / math.sqrt(2.0))
+
+
+def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
+    """W and p-value of samples held in memory."""
+    x = np.sort(np.asarray(values, dtype=float))
+    n = len(x)
+    if n < SHAPIRO_MIN_N:
+        return math.nan, math.nan
+    m = np.array([normal_score(i, n) for i in range(1, n + 1)])
+    centred = x - x.mean()
+    return shapiro_from_sums(n, float(m @ centred), float(m @ m), float(centred @ centred), (centred[0], centred[1], centred[-2], centred[-1]))
+
+
+@F.pandas_udf(StructType([StructField("total", DoubleType()), StructField("square", DoubleType())]))
+def normal_score_sums(first: pd.Series, length: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Sums of the normal scores, and of their squares, of the places first .. first + length - 1."""
+    rows = []
+    for f, k, size in zip(first, length, n, strict=True):
+        m = np.array([normal_score(i, size) for i in range(int(f), int(f + k))])
+        rows.append((float(m.sum()), float(m @ m)))
+    return pd.DataFrame(rows, columns=["total", "square"], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def shapiro_p(n: pd.Series, cross: pd.Series, square: pd.Series, spread: pd.Series, x1: pd.Series, x2: pd.Series, y2: pd.Series, y1: pd.Series) -> pd.Series:
+    rows = zip(n, cross, square, spread, x1, x2, y2, y1, strict=True)
+    return pd.Series([shapiro_from_sums(int(r[0]), r[1], r[2], r[3], r[4:])[1] for r in rows], dtype=float)
 
 
 @F.pandas_udf(DoubleType())

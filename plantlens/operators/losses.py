@@ -5,17 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.functions.stats import (
-    SHAPIRO_MAX_N,
-    SHAPIRO_MIN_N,
-    correlation_p,
-    nan_to_null,
-    shapiro_wilk,
-)
+from plantlens.functions.stats import SCORES_PER_ROW, correlation_p, nan_to_null, normal_score_sums, shapiro_p
 from plantlens.operators.clean import to_number
 from plantlens.operators.ranks import average_ranks, skew_safe_join
 from plantlens.session import join_small, materialize, null_safe_join
@@ -153,43 +146,56 @@ def _pairs(df: DataFrame, params: list[str], defect: str, series: list[str]) ->
     )
 
 
-def _spearman(pairs: DataFrame, keys: list[str], total: int) -> DataFrame:
+def _value_ranks(counted: DataFrame, keys: list[str], v: str) -> DataFrame:
+    values = counted.groupBy(*keys, v).agg(F.sum("c").alias("cnt"))
+    return materialize(average_ranks(values, keys, v))
+
+
+def _spearman(counted: DataFrame, keys: list[str], ranks: dict[str, DataFrame], sizes: DataFrame, total: int) -> DataFrame:
     """Rank correlation from distinct (p, d) pairs: ranks of values, not of rows."""
-    counted = materialize(pairs.groupBy(*keys, "p", "d").agg(F.count(F.lit(1)).alias("c")))
-    ranks = {}
+    ranked = counted
     for v in ("p", "d"):
-        values = counted.groupBy(*keys, v).agg(F.sum("c").alias("cnt"))
-        ranks[v] = materialize(
-            average_ranks(values, keys, v).select(*keys, v, F.col("cnt").alias(f"_w{v}"), F.col("rank").alias(f"r{v}"))
-        )
-    sizes = counted.groupBy(*keys).agg(F.sum("c").alias("_n"))
-    ranked = skew_safe_join(counted, ranks["p"], [*keys, "p"], "_wp", total)
-    ranked = skew_safe_join(ranked, ranks["d"], [*keys, "d"], "_wd", total)
-    centred = join_small(ranked, sizes, keys).withColumn("_m", (F.col("_n") + 1) / 2.0)
+        side = ranks[v].select(*keys, v, F.col("cnt").alias(f"_w{v}"), F.col("rank").alias(f"r{v}"))
+        ranked = skew_safe_join(ranked, side, [*keys, v], f"_w{v}", total)
+    centred = join_small(ranked, sizes.select(*keys, "n"), keys).withColumn("_m", (F.col("n") + 1) / 2.0)
     x, y, c = F.col("rp") - F.col("_m"), F.col("rd") - F.col("_m"), F.col("c")
     return centred.groupBy(*keys).agg(
         F.try_divide(F.sum(c * x * y), F.sqrt(F.sum(c * x * x) * F.sum(c * y * y))).alias("spearman_r")
     )
 
 
-def _shapiro(pairs: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
-    """Normality p-value for groups of 3..5000 samples; other groups never reach Python."""
-    small = sizes.where(F.col("n").between(SHAPIRO_MIN_N, SHAPIRO_MAX_N)).select(*keys)
-    types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", shapiro_p double"
+def _shapiro(ranks: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """Normality p-value of every group, whatever its size, from distinct values and their places.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        head = group.iloc[:1][keys].reset_index(drop=True)
-        return head.assign(shapiro_p=shapiro_wilk(group["p"].to_numpy())[1])
-
-    bounded = join_small(pairs.select(*keys, "p"), small, keys, "left_semi")
-    return bounded.groupBy(*keys).applyInPandas(run, schema)
+    A value that many samples share is cut into stretches of places, so no row stands for more than
+    ``SCORES_PER_ROW`` of them.
+    """
+    placed = join_small(ranks.select(*keys, "p", "cnt", "rank"), sizes.select(*keys, "n", "mean_p", "std_p"), keys)
+    x, before = F.col("p") - F.col("mean_p"), F.col("rank") - (F.col("cnt") + 1) / 2.0
+    placed = placed.select(*keys, "n", "std_p", x.alias("x"), before.cast("long").alias("before"), "cnt")
+    steps = F.sequence(F.lit(0).cast("long"), F.col("cnt") - 1, F.lit(SCORES_PER_ROW).cast("long"))
+    parts = placed.withColumn("_step", F.explode(steps))
+    length = F.least(F.col("cnt") - F.col("_step"), F.lit(SCORES_PER_ROW).cast("long"))
+    scores = normal_score_sums(F.col("before") + F.col("_step") + 1, length, F.col("n"))
+    parts = parts.withColumn("_s", scores)
+    upto = F.col("before") + F.col("cnt")
+    sums = parts.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("std_p").alias("std_p"), F.sum(F.col("x") * F.col("_s.total")).alias("cross"), F.sum("_s.square").alias("square"),
+        F.min("x").alias("x1"), F.min(F.when(upto >= 2, F.col("x"))).alias("x2"),
+        F.max(F.when(F.col("before") <= F.col("n") - 2, F.col("x"))).alias("y2"), F.max("x").alias("y1"),
+    )
+    spread = F.col("std_p") * F.col("std_p") * (F.col("n") - 1)
+    return sums.select(*keys, shapiro_p("n", "cross", "square", spread, "x1", "x2", "y2", "y1").alias("shapiro_p"))
 
 
-def correlations(df: DataFrame, params: Sequence[str], defect: str, series: Sequence[str] = ()) -> DataFrame:
+def correlations(
+    df: DataFrame, params: Sequence[str], defect: str, series: Sequence[str] = (), normality_up_to: int | None = None
+) -> DataFrame:
     """Pearson, Spearman and the retained test per (series, parameter) against the defects.
 
-    Pearson is retained when Shapiro-Wilk does not reject normality, Spearman otherwise.
+    Pearson is retained when Shapiro-Wilk does not reject normality, Spearman otherwise.  The test of
+    normality is made at every size; ``normality_up_to`` makes it up to so many pairs only (5000 is the
+    customary limit, beyond which the test rejects almost everything), and Spearman is retained beyond.
     What cannot be computed is reported as ``NON_CALCULABLE`` with a reason, never raised.
     """
     params, series = list(params), list(series)
@@ -202,6 +208,7 @@ def correlations(df: DataFrame, params: Sequence[str], defect: str, series: Sequ
     stats = materialize(
         pairs.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"),
+            F.avg("p").alias("mean_p"),
             F.stddev_samp("p").alias("std_p"),
             F.stddev_samp("d").alias("std_d"),
             F.try_divide(F.covar_samp("p", "d"), spread).alias("pearson_r"),
@@ -229,8 +236,11 @@ def correlations(df: DataFrame, params: Sequence[str], defect: str, series: Sequ
     )
     usable = join_small(pairs, stats.where(ok).select(*keys), keys, "left_semi")
     table = null_safe_join(every, stats, keys, "left")
-    table = null_safe_join(table, _spearman(usable, keys, total), keys, "left")
-    table = null_safe_join(table, _shapiro(usable, keys, stats.where(ok)), keys, "left")
+    counted = materialize(usable.groupBy(*keys, "p", "d").agg(F.count(F.lit(1)).alias("c")))
+    ranks = {v: _value_ranks(counted, keys, v) for v in ("p", "d")}
+    tested = ok if normality_up_to is None else ok & (F.col("n") <= normality_up_to)
+    table = null_safe_join(table, _spearman(counted, keys, ranks, stats, total), keys, "left")
+    table = null_safe_join(table, _shapiro(ranks["p"], keys, stats.where(tested)), keys, "left")
 
     def not_numeric(name, example):
         return F.concat(
@@ -253,7 +263,8 @@ def correlations(df: DataFrame, params: Sequence[str], defect: str, series: Sequ
     good = F.col("motif").isNull()
     # rounding noise must not push a correlation past 1
     for c in ("pearson_r", "spearman_r"):
-        table = table.withColumn(c, F.when(good, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c)))))
+        clamped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c)))  # both ignore null
+        table = table.withColumn(c, F.when(good & F.col(c).isNotNull(), clamped))
     table = table.withColumns(
         {
             "n": F.when(good, F.col("n")).otherwise(0).cast("long"),

@@ -383,11 +383,39 @@ def loss_correlation_by_series(spark, d):
     )
 
 
-@query()
+# two-sided tail of a correlation by Simpson's rule: the t variable is sqrt(n - 2) * tan(angle), the angle's density cos^(n - 3)
+def _tail_sql(r: str) -> str:
+    low, high, steps = f"asin(least(1, abs({r})))", "least(pi() / 2, 60 / sqrt(n))", 4000
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+
+    def area(start: str) -> str:
+        return f"(({high}) - {start}) * (SELECT sum({weight} * pow(cos({start} + (({high}) - {start}) * i / {steps}), n - 3)) FROM range({steps + 1}) g(i))"
+
+    return f"CASE WHEN {r} IS NULL THEN NULL WHEN {low} >= {high} THEN 0.0 ELSE {area(low)} / ({area('0')}) END"
+
+
+_GAPPY = (
+    f"(SELECT *, NULLIF(event_type, 'click') AS kind, CASE WHEN user_id < 0 THEN CAST(1 AS DOUBLE) END AS absent FROM ({standins.SENSORS}) x)"
+)
+
+
+@query(
+    f"WITH sensors AS {_GAPPY}, {_rank_sql('sensors', ['k', 'patchy', 'user_id'], 'value', 'kind')}, "
+    f"pv AS (SELECT s, parameter, n, pr, sr, {_tail_sql('pr')} AS pp, {_tail_sql('sr')} AS sp FROM co) "
+    "SELECT s AS kind, parameter, n, round(pr, 6) AS pearson_r, round(pp, 6) AS pearson_p, round(sr, 6) AS spearman_r, round(sp, 6) AS spearman_p, "
+    "'spearman' AS test_retenu, '' AS motif FROM pv UNION ALL "
+    "SELECT DISTINCT kind, 'frozen', 0, NULL, NULL, NULL, NULL, 'NON_CALCULABLE', '''frozen'' : parametre constant, correlation non definie.' "
+    "FROM sensors UNION ALL "
+    "SELECT DISTINCT kind, 'absent', 0, NULL, NULL, NULL, NULL, 'NON_CALCULABLE', '''absent'' : moins de 3 observations communes exploitables.' "
+    "FROM sensors"
+)
 def loss_analysis(spark, d):
-    """The whole loss analysis with p-values, normality test and retained coefficient."""
-    result = analysis.analyze_losses(sensors(spark, d), ["k", "patchy", "user_id", "frozen"], "value", series=["event_type"])
-    return result.correlations
+    """The whole loss analysis, with a series without a name and a column without values."""
+    result = analysis.analyze_losses(
+        frame(spark, d, f"SELECT * FROM {_GAPPY}"), ["k", "patchy", "user_id", "frozen", "absent"], "value", series=["kind"]
+    )
+    kept = ("kind", "parameter", "n", "pearson_r", "pearson_p", "spearman_r", "spearman_p", "test_retenu")
+    return rounded(result.correlations.select(*kept, F.coalesce("motif", F.lit("")).alias("motif")))
 
 
 # --- shifts ------------------------------------------------------------------
