@@ -21,7 +21,9 @@ from plantlens.session import ensure_checkpoint_dir
 # A word is a run of bytes other than space and \t \n \v \f \r (the pattern [^\x20\x09-\x0D]+).
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 # Texts are handled in groups of about so many bytes, a longer text alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+# Rows of an Arrow batch: whole texts are long, and two batches are held at a time on both sides.
+BATCH_ROWS = 1000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -36,8 +38,16 @@ def fingerprint(column: Column) -> Column:
     return F.xxhash64(column)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size for tables of texts (only speed and memory depend on it)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns ``k1`` (the id), ``k2`` (fingerprint of id being missing, and text) and ``text`` (null: empty)."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     id_ = F.col(id_col).cast("long")
     return docs.select(
@@ -98,7 +108,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = max(n + n // 4, 1 << 16)
             grown = []
             for b in (self.base, self.inverse):
                 steps = np.full(size, b, np.uint64)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import Words, keyed, stored, text_groups
+from plantlens.llm.common import Words, small_batches, stored, text_groups
 
 WEIGHTS = (5, 2, 1)
 DOCS_PER_BLOCK = 512
@@ -44,6 +44,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """``k1, k2, doc_id, source, size`` of every row; size is the number of words (null text: 0)."""
+    small_batches(docs.sparkSession)
     source = F.col(source_col).cast("string").alias("source")
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), source)
     id_, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))

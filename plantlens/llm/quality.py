@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import RollingHash, Words, byte_hash, keyed, mix_int, text_groups
+from plantlens.llm.common import RollingHash, Words, byte_hash, keyed, mix_int, small_batches, text_groups
 
 BUCKETS = 1 << 18
 DIM = 12
@@ -132,7 +132,7 @@ def _score_task(shared):
         weights, bias = shared.value
         for batch in batches:
             scores = []
-            for _, data, offsets in text_groups(batch, most=1 << 20):
+            for _, data, offsets in text_groups(batch):
                 buckets, sizes = features(data, offsets)
                 sums = np.concatenate([[0.0], np.cumsum(weights[buckets], dtype=np.float64)])
                 ends = np.cumsum(sizes)
@@ -156,6 +156,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with a score of ``least`` or more, with all their columns, in one pass without a shuffle."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))

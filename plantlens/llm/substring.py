@@ -74,7 +74,7 @@ def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         yield i, np.frombuffer(unpack.decompress(value.as_buffer()), np.uint8)
 
 
-def text_runs(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_runs(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows with about ``most`` bytes of unpacked text: first row, row after, bytes, offsets."""
     held, size, first = [], 0, 0
     for i, data in unpacked(batch):
