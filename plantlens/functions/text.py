@@ -73,11 +73,25 @@ def shorten(c, limit: int = 140) -> Column:
     return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.substring(t, 1, limit - 3), F.lit("...")))
 
 
+def plain_number(c) -> Column:
+    """Shortest decimal text of a double: plain digits from 1e-4 up to 1e16, an exponent outside."""
+    c = c if isinstance(c, Column) else F.col(c)
+    text, size = c.cast("string"), F.abs(c)
+    digits = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    mantissa, power = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), F.substring_index(text, "E", -1).try_cast("int")
+    sign = F.when(power < 0, "-").otherwise("+")
+    powered = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    long = F.concat(F.substring_index(text, "E", 1), F.lit("e"), sign, F.abs(power).cast("string"))
+    powered = F.when(F.abs(power) > 99, F.regexp_replace(long, r"\.0e", "e")).otherwise(powered)
+    return F.when(~text.contains("E"), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(powered)
+
+
 def case_text(defect_type: str, context: str, parameters: str, causes: str) -> Column:
     """A case as one text: type, context, ``k=v`` and ``branch: a, b`` joined by `` | ``."""
     params = F.transform(
         F.map_entries(F.coalesce(F.col(parameters), F.create_map().cast("map<string,double>"))),
-        lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")),
+        lambda e: F.concat(e["key"], F.lit("="), plain_number(e["value"])),
     )
     branches = F.transform(
         F.map_entries(F.coalesce(F.col(causes), F.create_map().cast("map<string,array<string>>"))),

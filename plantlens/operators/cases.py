@@ -66,10 +66,16 @@ def record_outcomes(votes: DataFrame, nodes: DataFrame) -> DataFrame:
 # --- roots, chains, rankings -------------------------------------------------
 
 
-def branch_roots(nodes: DataFrame) -> DataFrame:
-    """Root of every (project, branch): the deepest flagged node, else the deepest node."""
+def branch_roots(nodes: DataFrame, first: bool = False) -> DataFrame:
+    """Root of every (project, branch): the deepest flagged node, else the deepest node.
+
+    With ``first`` it is the first flagged node from the top (the one whose votes weigh a path), else
+    the deepest node.
+    """
     row = F.struct(*[c for c in nodes.columns if c not in ("projet_id", "branche_m")])
-    best = F.max_by(row, F.struct("est_cause_racine", "niveau", "id")).alias("_r")
+    flagged = F.coalesce("est_cause_racine", F.lit(False))
+    sign = F.when(flagged & F.lit(first), -1).otherwise(1)
+    best = F.max_by(row, F.struct(flagged, sign * F.col("niveau"), sign * F.col("id"))).alias("_r")
     return nodes.groupBy("projet_id", "branche_m").agg(best).select("projet_id", "branche_m", "_r.*")
 
 
@@ -142,7 +148,7 @@ def best_paths(similar: DataFrame, projects: DataFrame, nodes: DataFrame, feedba
     All projects of one incident share its similarity, so each (incident, branch) first shrinks
     to its best-weighted project; only those one-row groups meet the similar cases.
     """
-    roots = branch_roots(nodes)
+    roots = branch_roots(nodes, first=True)
     weighted = roots.join(vote_tally(feedback).withColumnRenamed("chemin_id", "id"), "id", "left").select(
         "projet_id", "branche_m", path_weight().alias("weight")
     )

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plantlens.session import named
+
 # A plain decimal number; Spark's own cast would also take '12d' or 'NaN'.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -24,7 +28,7 @@ def is_datetime_type(dtype: T.DataType) -> bool:
 def to_number(df: DataFrame, column: str) -> Column:
     """Coerce a column to double; text that is no number, and NaN, become NULL."""
     dtype = df.schema[column].dataType
-    c = F.col(f"`{column}`")
+    c = named(column)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.when(~F.isnan(c), c.cast("double"))
     if is_numeric_type(dtype) or isinstance(dtype, T.BooleanType):
@@ -62,7 +66,7 @@ def clean_data(
     numeric = df.select(*carry, *[to_number(df, c).alias(c) for c in columns])
     valid = numeric.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count(f"`{c}`").alias(f"_valid{i}") for i, c in enumerate(columns)],
+        *[F.count(named(c)).alias(f"_valid{i}") for i, c in enumerate(columns)],
     ).first()
     total = max(valid["_rows"], 1)
     kept = [c for i, c in enumerate(columns) if valid[f"_valid{i}"] / total >= min_valid_ratio]
@@ -79,7 +83,7 @@ def valid_ratios(df: DataFrame, columns: Sequence[str], min_valid_ratio: float =
         F.count(F.lit(1)).alias("n_total"),
         F.array(
             *[
-                F.struct(F.lit(c).alias("column"), F.count(f"`{c}`").alias("n_valid"))
+                F.struct(F.lit(c).alias("column"), F.count(named(c)).alias("n_valid"))
                 for c in columns
             ]
         ).alias("_cols"),
@@ -112,14 +116,39 @@ def candidate_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [c for i, c in enumerate(names) if found[f"_c{i}"]]
 
 
+def _first_distinct(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[set] = []
+        for batch in batches:
+            seen = seen or [set() for _ in batch.schema.names]
+            for i, found in enumerate(seen):
+                if len(found) <= limit:
+                    found.update(islice((v for v in batch.column(i).unique().to_pylist() if v is not None and v not in found), limit + 1 - len(found)))
+        rows = [(i, v) for i, found in enumerate(seen) for v in found]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.string())], names=["i", "v"])
+
+    return run
+
+
+def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int]:
+    """Number of distinct values of each column, exact up to ``limit`` and larger than it beyond.
+
+    Every task passes on at most ``limit + 1`` values of a column, which is enough to tell.
+    """
+    texts = df.select(*[named(c).cast("string").alias(f"_c{i}") for i, c in enumerate(columns)])
+    found = texts.mapInArrow(_first_distinct(limit), "i int, v string").groupBy("i").agg(F.count_distinct("v").alias("n"))
+    counts = {r["i"]: r["n"] for r in found.collect()}  # one row per column
+    return {c: counts.get(i, 0) for i, c in enumerate(columns)}
+
+
 def categorical_columns(df: DataFrame, max_distinct: int = 10) -> list[str]:
     """Text columns, or columns with few distinct values."""
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     others = [c for c in df.columns if c not in text]
     few: set[str] = set()
     if others:
-        counts = df.agg(*[F.count_distinct(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(others)]).first()
-        few = {c for i, c in enumerate(others) if counts[f"_c{i}"] <= max_distinct}
+        counts = distinct_up_to(df, others, max_distinct)
+        few = {c for c in others if counts[c] <= max_distinct}
     return [c for c in df.columns if c in text or c in few]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plantlens.functions.stats import SCORES_PER_ROW, correlation_p, nan_to_null, normal_score_sums, shapiro_p
 from plantlens.operators.clean import to_number
 from plantlens.operators.ranks import average_ranks, skew_safe_join
-from plantlens.session import join_small, materialize, null_safe_join
+from plantlens.session import join_small, materialize, named, null_safe_join
 
 CONSTANT_STD = 1e-9
 NORMALITY_P = 0.05
@@ -25,7 +25,7 @@ def ppm(df: DataFrame, defects: str, volume: str | float, by: Sequence = ()) ->
     v = F.sum(to_number(df, volume)) if isinstance(volume, str) else F.lit(float(volume))
     table = df.groupBy(*by).agg(
         F.sum(to_number(df, defects)).alias("defects"), v.alias("volume"),
-        F.count(F.col(f"`{defects}`")).alias("_given"), F.count(to_number(df, defects)).alias("_numeric"),
+        F.count(named(defects)).alias("_given"), F.count(to_number(df, defects)).alias("_numeric"),
     )
     status = (
         F.when(~(F.col("volume") > 0) | F.col("volume").isNull(), "VOLUME_INVALIDE")
@@ -66,9 +66,9 @@ def cpk(df: DataFrame, specs: DataFrame, series: Sequence[str] = ()) -> DataFram
         x = to_number(df, c)
         cells.append(
             F.struct(
-                F.lit(c).alias("parameter"), F.count(F.col(f"`{c}`")).alias("_given"), F.count(x).alias("n"),
+                F.lit(c).alias("parameter"), F.count(named(c)).alias("_given"), F.count(x).alias("n"),
                 F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                F.first(F.col(f"`{c}`").cast("string"), ignorenulls=True).alias("_example"),
+                F.first(named(c).cast("string"), ignorenulls=True).alias("_example"),
             )
         )
     if not present:
@@ -219,14 +219,14 @@ def correlations(
     # every (series, parameter) gets a row, also without a single usable pair
     cells = []
     for p in params:
-        raw, x = F.col(f"`{p}`"), to_number(df, p)
+        raw, x = named(p), to_number(df, p)
         cells.append(
             F.struct(
                 F.lit(p).alias("parameter"), ((F.count(raw) > 0) & (F.count(x) == 0)).alias("_text_p"),
                 F.first(raw.cast("string"), ignorenulls=True).alias("_example_p"),
             )
         )
-    raw, x = F.col(f"`{defect}`"), to_number(df, defect)
+    raw, x = named(defect), to_number(df, defect)
     every = df.groupBy(*series).agg(
         F.array(*cells).alias("_c"), ((F.count(raw) > 0) & (F.count(x) == 0)).alias("_text_d"),
         F.first(raw.cast("string"), ignorenulls=True).alias("_example_d"),

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plantlens.session import join_small, materialize
+from plantlens.session import join_small, materialize, named
 
 # Smallest block: with its halo it stays under the 4096 rows a window keeps in its plain row
 # buffer.  Longer series use longer blocks, so that one series has at most MAX_BLOCKS of them and
@@ -132,7 +132,7 @@ def to_points(
     base = df.select(
         *series,
         *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
-        *[F.col(f"`{p}`").cast("double").alias(f"_v{i}") for i, p in enumerate(parameters)],
+        *[named(p).cast("double").alias(f"_v{i}") for i, p in enumerate(parameters)],
     )
     values = [f"_v{i}" for i in range(len(parameters))]
     orders = [f"_o{i}" for i in range(len(order))]
@@ -222,18 +222,3 @@ def running_total(
         .withColumn(out, F.col("_base") + F.coalesce(F.sum(amount).over(inside), F.lit(0)))
         .drop("_uid", "_pid", "_base")
     )
-
-
-def first_values(df: DataFrame, columns: Sequence[str], order: Sequence[str], k: int, look: int = 1000) -> dict[str, list]:
-    """First ``k`` present values of each column along the order key.
-
-    One distributed top-``look`` serves all columns; only a column with fewer than ``k`` values
-    in there gets a top-``k`` of its own.
-    """
-    head = df.orderBy(*order).limit(look).select(*[f"`{c}`" for c in columns]).collect()
-    found = {c: [r[c] for r in head if r[c] is not None][:k] for c in columns}
-    if len(head) == look:
-        for c in [c for c in columns if len(found[c]) < k]:
-            rows = df.where(F.col(f"`{c}`").isNotNull()).orderBy(*order).limit(k).select(f"`{c}`").collect()
-            found[c] = [r[0] for r in rows]
-    return found

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions.stats import chi2_p, nan_to_null
-from plantlens.operators.clean import is_numeric_type, to_number
+from plantlens.operators.clean import distinct_up_to, is_numeric_type, to_number
 from plantlens.operators.ranks import average_ranks
-from plantlens.session import join_small, materialize, null_safe_join
+from plantlens.session import join_small, materialize, named, null_safe_join
 
 # Words that mark a shift column by name.
 SHIFT_NAME_WORDS = ("shift", "shifts", "equipe", "team", "poste", "quart", "rotation")
@@ -23,13 +23,13 @@ MEAN_FLOOR = 1e-12
 def detect_shift_column(df: DataFrame) -> str | None:
     """A column named like a shift, or else the first text column with few short values."""
     fields = df.schema.fields
+    distinct = distinct_up_to(df, df.columns, MAX_SHIFTS)
     profile = df.agg(
-        *[F.count_distinct(F.col(f"`{f.name}`")).alias(f"_u{i}") for i, f in enumerate(fields)],
-        *[F.max(F.length(F.col(f"`{f.name}`").cast("string"))).alias(f"_l{i}") for i, f in enumerate(fields)],
+        *[F.max(F.length(named(f.name).cast("string"))).alias(f"_l{i}") for i, f in enumerate(fields)],
     ).first()
 
     def few(i):
-        return MIN_SHIFTS <= profile[f"_u{i}"] <= MAX_SHIFTS
+        return MIN_SHIFTS <= distinct[fields[i].name] <= MAX_SHIFTS
 
     for i, f in enumerate(fields):
         if any(word in f.name.lower().strip() for word in SHIFT_NAME_WORDS) and few(i):
@@ -41,8 +41,8 @@ def detect_shift_column(df: DataFrame) -> str | None:
 
 
 def _cells(df: DataFrame, shift: str, params: Sequence[str], series: Sequence[str]) -> DataFrame:
-    wide = df.where(F.col(f"`{shift}`").isNotNull()).select(
-        *series, F.col(f"`{shift}`").cast("string").alias("shift"),
+    wide = df.where(named(shift).isNotNull()).select(
+        *series, named(shift).cast("string").alias("shift"),
         F.array(
             *[
                 F.struct(F.lit(p).alias("parameter"), to_number(df, p).alias("value"))

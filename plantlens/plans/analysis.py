@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.operators import clean, drift, losses, quality, shifts, spc
+from plantlens.session import named
 
 
 @dataclass
@@ -49,7 +50,7 @@ def analyze_shifts(df: DataFrame, params: Sequence[str], shift: str | None = Non
     shift = shift or shifts.detect_shift_column(df)
     if shift is None:
         return ShiftAnalysis(False, None, 0, "Aucune colonne shift detectee.")
-    n = df.agg(F.count_distinct(F.col(f"`{shift}`"))).first()[0]
+    n = df.agg(F.count_distinct(named(shift))).first()[0]
     if n < shifts.MIN_SHIFTS:
         reason = f"Colonne '{shift}' detectee mais {n} modalite(s) uniquement — comparaison impossible."
         return ShiftAnalysis(False, None, 0, reason)

@@ -881,6 +881,12 @@ def path_weights(spark, d):
 _ROOTS = f"n AS ({standins.CHAINS}), roots AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY projet_id, branche_m ORDER BY est_cause_racine DESC, niveau DESC, id DESC) = 1)"
 
 
+_FIRST_ROOTS = _ROOTS.replace(
+    "est_cause_racine DESC, niveau DESC, id DESC",
+    "est_cause_racine DESC, CASE WHEN est_cause_racine THEN niveau ELSE -niveau END, CASE WHEN est_cause_racine THEN id ELSE -id END",
+)
+
+
 @query(
     f"WITH {_TALLY}, {_ROOTS}, ch AS (SELECT projet_id, branche_m, string_agg(reponse, ' → ' ORDER BY niveau, id) AS chaine FROM n GROUP BY 1, 2) "
     "SELECT roots.projet_id, row_number() OVER (PARTITION BY roots.projet_id ORDER BY confidence DESC, roots.branche_m) AS rank, roots.branche_m, id AS root_id, reponse, "
@@ -959,7 +965,7 @@ _TEMPLATE_ROWS = ", ".join(
     f"({quoted(b)}, {i}, {quoted(q)}, {quoted(a)}, CAST({c} AS DOUBLE))" for b, chain in TEMPLATES.items() for i, (q, a, c) in enumerate(chain, 1)
 )
 _TREE = (
-    f"{_similar_sql(standins.NEW_CASES, standins.CHAIN_INCIDENTS, 3)}, {_TALLY}, {_ROOTS}, pr AS ({standins.CHAIN_PROJECTS}), "
+    f"{_similar_sql(standins.NEW_CASES, standins.CHAIN_INCIDENTS, 3)}, {_TALLY}, {_FIRST_ROOTS}, pr AS ({standins.CHAIN_PROJECTS}), "
     f"cand AS (SELECT sim.case_id, roots.branche_m, roots.projet_id, sim.id AS source_id, similarity, rank, similarity * {_WEIGHT} AS score FROM sim JOIN pr ON pr.incident_id = sim.id "
     "JOIN roots ON roots.projet_id = pr.id LEFT JOIN tally ON chemin_id = roots.id), "
     "best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY case_id, branche_m ORDER BY score DESC, rank, projet_id) = 1), "
@@ -1087,7 +1093,7 @@ def list_actions(spark, d):
 
 
 @query(
-    f"WITH n AS ({standins.CHAINS}) SELECT id, projet_id, round(confidence, 6) AS confidence FROM n WHERE est_cause_racine AND branche_m = 'Matiere' ORDER BY id DESC LIMIT 200"
+    f"WITH n AS ({standins.CHAINS}) SELECT id, projet_id, round(confidence, 6) AS confidence FROM n WHERE est_cause_racine AND branche_m = 'Matiere'"
 )
 def root_cause_history(spark, d):
     rows = frame(spark, d, standins.CHAINS).withColumn("cree_le", F.lit("2026-01-01").cast("timestamp"))
@@ -1164,7 +1170,7 @@ def _stored_cases(spark, d):
     """Cases with maps, encoded to JSON text and read back."""
     rows = read_table(spark, f"{d}/orders.parquet").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("defect_type"), F.col("o_orderstatus").alias("context"),
-        F.create_map(F.lit("prix"), F.col("o_totalprice")).alias("parameters"),
+        F.create_map(F.lit("prix"), F.round("o_totalprice", 2), F.lit("total"), F.round(F.col("o_totalprice") * 128, 0)).alias("parameters"),
         F.create_map(F.lit("Machine"), F.array(F.lit("usure"), F.col("o_orderstatus"))).alias("causes_5m"),
         F.when(F.col("o_orderstatus") != "P", F.lit("usure")).alias("validated_root_cause"), F.lit("Machine").alias("validated_branch"),
         F.lit(None).cast("string").alias("operator"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
@@ -1173,14 +1179,13 @@ def _stored_cases(spark, d):
 
 
 @query(
-    "SELECT o_orderkey AS id, o_orderpriority || ' | ' || o_orderstatus || ' | prix=' || round(o_totalprice, 2) || ' | Machine: usure, ' || o_orderstatus AS text, "
-    "CASE WHEN o_orderstatus <> 'P' THEN 'usure' ELSE '' END AS validated_root_cause, '' AS operator FROM orders WHERE o_totalprice < 1000000"
+    "SELECT o_orderkey AS id, o_orderpriority || ' | ' || o_orderstatus || ' | prix=' || round(o_totalprice, 2) || ' | total=' || round(o_totalprice * 128, 0) || "
+    "' | Machine: usure, ' || o_orderstatus AS text, "
+    "CASE WHEN o_orderstatus <> 'P' THEN 'usure' ELSE '' END AS validated_root_cause, '' AS operator FROM orders"
 )
 def stored_cases(spark, d):
-    """Round trip of stored root-cause cases and their text form."""
-    return retrieval.rca_text(_stored_cases(spark, d)).select(
-        "id", F.regexp_replace("text", r"=(\d+\.\d+E\d)", "=$1").alias("text"), "validated_root_cause", "operator"
-    )
+    """Round trip of stored root-cause cases and their text form, with values beyond 1e7."""
+    return retrieval.rca_text(_stored_cases(spark, d)).select("id", "text", "validated_root_cause", "operator")
 
 
 @query("SELECT count(*) AS n_cases, count(*) FILTER (WHERE o_orderstatus <> 'P') AS n_validated FROM orders")
@@ -1190,7 +1195,7 @@ def case_kpis(spark, d):
 
 @query(
     "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderpriority AS defect_type, 'Machine' AS validated_branch, "
-    "CASE WHEN o_orderstatus <> 'P' THEN 'usure' ELSE '' END AS validated_root_cause, '' AS operator FROM orders ORDER BY o_orderkey DESC LIMIT 30"
+    "CASE WHEN o_orderstatus <> 'P' THEN 'usure' ELSE '' END AS validated_root_cause, '' AS operator FROM orders"
 )
 def latest_cases(spark, d):
     return store.latest_cases(_stored_cases(spark, d))

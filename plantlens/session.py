@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A broadcast side never exceeds this many rows; beyond it the join shuffles.
@@ -29,6 +29,11 @@ def build_session(app_name: str = "plantlens", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared checkpoint folder; fall back to /tmp in local mode only."""
     sc = spark.sparkContext

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from plantlens.functions.vocab import FAMILIES, STATUS_LABELS
 from plantlens.operators.ordered import previous_in_series, with_positions
+from plantlens.session import named
 
 
 @dataclass(frozen=True)
@@ -163,7 +164,7 @@ def conform(rows: DataFrame, table: str, now: Column | None = None) -> DataFrame
     now = F.current_timestamp() if now is None else now
     cols = []
     for f in t.schema.fields:
-        c = F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)
+        c = named(f.name) if f.name in rows.columns else F.lit(None)
         if f.name in t.trimmed:
             c = F.trim(c)
         if f.name in t.defaults:
@@ -234,7 +235,9 @@ def constraint_violations(tables: dict[str, DataFrame]) -> DataFrame:
         groups = [("id",), *t.unique] + [tuple(k.split(",")) for k in t.unique_where]
         for group in groups:
             scope = rows.where(F.expr(t.unique_where[",".join(group)])) if ",".join(group) in t.unique_where else rows
-            repeated = scope.groupBy(*group).agg(
+            # rows without a value in the group's columns are never equal to each other
+            given = scope.dropna("any", subset=list(group))
+            repeated = given.groupBy(*group).agg(
                 F.count(F.lit(1)).alias("_n"), F.min("id").alias("_id")
             ).where("_n > 1")
             parts.append(_violation(repeated.withColumn("id", F.col("_id")), name, "unique", ",".join(group)))
@@ -251,24 +254,31 @@ def _violation(rows: DataFrame, table: str, rule: str, column: str) -> DataFrame
 def apply_patches(rows: DataFrame, patches: DataFrame, table: str, now: Column | None = None) -> DataFrame:
     """Apply one batch of partial updates; a NULL in a patch leaves the value alone.
 
-    ``patches`` has ``id``, any patchable columns, and optionally ``patch_no`` (later wins per
-    column value).  Columns outside the table's list are ignored.  Adds ``changed``.
+    ``patches`` has ``id``, any patchable columns, optionally ``cleared`` (names of columns to set to NULL) and
+    ``patch_no`` (the later patch wins per column; in one patch a value wins over clearing).  Columns outside
+    the table's list are ignored.  Adds ``changed``.
     """
     t = TABLES[table]
-    fields = [c for c in patches.columns if c in t.patchable]
+    clearing = "cleared" in patches.columns
+    fields = [c for c in rows.columns if c in t.patchable and (c in patches.columns or clearing)]
     if not fields:
         return rows.withColumn("changed", F.lit(False))
     at = F.col("patch_no") if "patch_no" in patches.columns else F.lit(0)
-    latest = patches.groupBy("id").agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_p_{c}") for c in fields]
-    ).withColumn("_hit", F.lit(True))
+
+    def mention(c: str) -> Column:
+        value = F.col(c) if c in patches.columns else F.lit(None).cast(rows.schema[c].dataType)
+        named = F.coalesce(F.array_contains("cleared", c), F.lit(False)) if clearing else F.lit(False)
+        return F.max_by(F.struct(value.alias("v")), F.when(value.isNotNull() | named, at)).alias(f"_p_{c}")
+
+    latest = patches.groupBy("id").agg(*[mention(c) for c in fields]).withColumn("_hit", F.lit(True))
     joined = rows.join(latest, "id", "left")
     now = F.current_timestamp() if now is None else now
     changed = F.coalesce("_hit", F.lit(False))
     cols = []
     for c in rows.columns:
         if c in fields:
-            cols.append(F.coalesce(F.col(f"_p_{c}").cast(rows.schema[c].dataType), F.col(c)).alias(c))
+            given = F.col(f"_p_{c}")
+            cols.append(F.when(given.isNotNull(), given["v"].cast(rows.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         elif c == t.touched:
             cols.append(F.when(changed, now).otherwise(F.col(c)).alias(c))
         else:
@@ -299,14 +309,15 @@ def list_rows(rows: DataFrame, table: str, **equals) -> DataFrame:
     return rows.orderBy(F.desc(TABLES[table].stamp), F.desc("id"))
 
 
-def root_cause_history(nodes: DataFrame, branch: str | None = None, tenant: int | None = None, limit: int = 200) -> DataFrame:
+def root_cause_history(nodes: DataFrame, branch: str | None = None, tenant: int | None = None, limit: int | None = None) -> DataFrame:
     """Newest root causes, optionally of one branch or company."""
     rows = nodes.where("est_cause_racine")
     if branch is not None:
         rows = rows.where(F.col("branche_m") == branch)
     if tenant is not None:
         rows = rows.where(F.col("entreprise_id") == tenant)
-    return rows.orderBy(F.desc("cree_le"), F.desc("id")).limit(limit)
+    newest = rows.orderBy(F.desc("cree_le"), F.desc("id"))
+    return newest if limit is None else newest.limit(limit)
 
 
 def lookup(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -357,9 +368,10 @@ def decode_rca(rows: DataFrame) -> DataFrame:
     )
 
 
-def latest_cases(cases: DataFrame, rows: int = 30) -> DataFrame:
-    """The newest analyses for display."""
-    return cases.orderBy(F.desc("id")).limit(rows).select(
+def latest_cases(cases: DataFrame, rows: int | None = None) -> DataFrame:
+    """Analyses for display, newest first; ``rows`` asks for so many."""
+    newest = cases.orderBy(F.desc("id"))
+    return (newest if rows is None else newest.limit(rows)).select(
         "id", F.substring("created_at", 1, 10).alias("date"), "defect_type", "validated_branch",
         "validated_root_cause", "operator",
     )
@@ -388,13 +400,22 @@ def prune(rows: DataFrame, stamp: str, older_than_days: int, today: Column | Non
     return rows.where(F.to_date(F.col(stamp)) >= F.date_sub(today, older_than_days))
 
 
+def row_text(rows: DataFrame) -> Column:
+    """A row as fixed text: ``name=value`` in order of names, doubles to six decimals, nothing for null."""
+    parts = []
+    for f in sorted(rows.schema.fields, key=lambda f: f.name):
+        c = named(f.name)
+        text = F.format_string("%.6f", c.cast("double")) if f.dataType.typeName() in ("double", "float", "decimal") else c.cast("string")
+        parts.append(F.concat(F.lit(f"{f.name}="), F.coalesce(F.when(c.isNotNull(), text), F.lit(""))))
+    return F.concat_ws("|", *parts)
+
+
 def data_hash(rows: DataFrame) -> DataFrame:
     """Order-free fingerprint of a training set: hash of each row, combined by addition.
 
     Sums of 28-bit digit groups stay exact in a long; the row count is part of the result.
     """
-    text = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
-    digest = rows.select(F.sha2(text, 256).alias("_h"))
+    digest = rows.select(F.sha2(row_text(rows), 256).alias("_h"))
     groups = [F.conv(F.substring("_h", 1 + 7 * i, 7), 16, 10).cast("bigint") for i in range(9)]
     sums = digest.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(g).alias(f"_s{i}") for i, g in enumerate(groups)])
     joined = F.concat_ws("-", "rows", *[F.coalesce(F.col(f"_s{i}"), F.lit(0)) for i in range(9)])
@@ -418,10 +439,11 @@ def chain_parents(nodes: DataFrame) -> DataFrame:
     return linked.select(*nodes.columns)
 
 
-def list_defects(defects: DataFrame, limit: int = 50, line: str | None = None) -> DataFrame:
-    """Newest reported defects, optionally of one line."""
+def list_defects(defects: DataFrame, limit: int | None = None, line: str | None = None) -> DataFrame:
+    """Reported defects, newest first, optionally of one line or so many."""
     rows = defects if line is None else defects.where(F.col("ligne") == line)
-    return rows.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
+    newest = rows.orderBy(F.desc("timestamp"), F.desc("id"))
+    return newest if limit is None else newest.limit(limit)
 
 
 def predictions_of(predictions: DataFrame, defects: DataFrame) -> DataFrame:
