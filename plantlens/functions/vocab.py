@@ -43,6 +43,7 @@ BLAME_MARKERS = (
     "n'a pas verifie", "n'a pas respecte", "a mal", "oubli de", "etourderie", "manque d'attention",
     "manque de rigueur", "pas concentre",
 )
+# Wording of node kinds, of the question after a blamed person, and of the reasons to stop.
 NODE_LABELS = {
     "symptome": "Symptome", "condition": "Condition", "cause_directe": "Cause directe", "cause_racine": "Cause racine",
 }

@@ -21,6 +21,7 @@ from plantlens.functions.vocab import (
     FAMILY_WORDS,
     FOLD_CLASSIFIER,
     FOLD_SIMILARITY,
+    FOLLOW_UP_QUESTION,
     NO_CAUSE,
     ROOT_MARKERS,
     SEVERITY,
@@ -827,12 +828,13 @@ _NODE_SQL = (
     "len(b) = 0 AND kind = 'cause_racine' AS is_root, len(b) > 0 AS is_blame, len(b) = 0 AND (kind = 'cause_racine' OR (niveau >= 5 AND kind = 'cause_directe')) AS should_stop, "
     f"CASE WHEN len(b) > 0 THEN '{STOP_REASONS['blame']}' WHEN kind = 'cause_racine' THEN '{STOP_REASONS['root']}' "
     f"WHEN niveau >= 5 AND kind = 'cause_directe' THEN '{STOP_REASONS['deep']}' ELSE '{STOP_REASONS['go_on']}' END AS raison_arret, "
+    f"CASE WHEN len(b) > 0 THEN {quoted(FOLLOW_UP_QUESTION)} END AS relance_question, "
     "array_to_string(list_concat(CASE kind WHEN 'cause_racine' THEN r WHEN 'condition' THEN c WHEN 'symptome' THEN y ELSE [] END, b), ', ') AS markers FROM k"
 )
 def node_classify(spark, d):
     """Kind, blame, stop decision and markers of every why-answer."""
     graded = nodes.analyze_nodes(frame(spark, d, standins.WORDED_NODES))
-    return rounded(graded.drop("reponse", "relance_question").withColumn("markers", F.array_join("markers", ", ")))
+    return rounded(graded.drop("reponse").withColumn("markers", F.array_join("markers", ", ")))
 
 
 _FAMILY_ARMS = ", ".join(
