@@ -1279,7 +1279,18 @@ def feature_statistics(spark, d):
 
 
 def _train(spark, d):
-    return supervised.train_all(frame(spark, d, standins.HISTORY), trees=20, depth=6)
+    return supervised.train_all(frame(spark, d, standins.HISTORY))
+
+
+def _engine(spark, d):
+    """Models trained, saved and loaded again."""
+    folder = work_folder(spark, "models")
+    supervised.save_models(_train(spark, d), folder, spark)
+    return supervised.SupervisedEngine.load(spark, folder)
+
+
+def _contexts(spark, d):
+    return frame(spark, d, standins.HISTORY).withColumn("case_id", F.concat_ws("-", *standins.HISTORY_KEY))
 
 
 @query()
@@ -1291,17 +1302,52 @@ def supervised_training(spark, d):
 @query()
 def supervised_suggest(spark, d):
     """Most likely causes over all families for every sample."""
-    engine = supervised.SupervisedEngine(_train(spark, d).models)
-    contexts = frame(spark, d, standins.HISTORY).withColumn("case_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return engine.suggest(contexts, 3)
+    return _engine(spark, d).suggest(_contexts(spark, d), 3)
 
 
 @query()
 def supervised_explain(spark, d):
     """Largest feature contributions for every sample and family."""
-    engine = supervised.SupervisedEngine(_train(spark, d).models)
-    contexts = frame(spark, d, standins.HISTORY).withColumn("case_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return engine.explain(contexts, 2)
+    return _engine(spark, d).explain(_contexts(spark, d), 2)
+
+
+_CASE_ID = " || '-' || ".join(standins.HISTORY_KEY)
+
+
+@query(
+    f"WITH h AS ({standins.HISTORY}), x AS (SELECT {_CASE_ID} AS case_id FROM h), f(m) AS (VALUES " + ", ".join(f"('{m}')" for m in FAMILIES)
+    + ") SELECT case_id, m, true AS ranks_follow, true AS confidence_falls, true AS only_causes, true AS bounded FROM x CROSS JOIN f"
+)
+def supervised_contract(spark, d):
+    """Every family and case: ranks from 1, falling confidences in 0..1, never the no-cause class, at most three causes or a reason."""
+    rows = _engine(spark, d).predict(_contexts(spark, d), 3)
+    by_rank = F.array_sort(F.collect_list(F.struct("rank", "confidence", "cause")))
+    lists = rows.groupBy("case_id", "m", "available", "reason").agg(by_rank.alias("c"), F.count("rank").alias("n"))
+    places, values = F.transform("c", lambda s: s["rank"]), F.transform("c", lambda s: -s["confidence"])
+    known = F.col("n") > 0
+    return lists.select(
+        "case_id", "m", F.when(known, places == F.sequence(F.lit(1).cast("long"), F.col("n"))).otherwise(True).alias("ranks_follow"),
+        F.when(known, F.array_sort(values) == values).otherwise(True).alias("confidence_falls"),
+        F.when(known, F.forall("c", lambda s: (s["cause"] != NO_CAUSE) & s["confidence"].between(0, 1))).otherwise(True).alias("only_causes"),
+        ((F.col("n") <= 3) & (F.col("available") | (F.col("reason") != ""))).alias("bounded"),
+    )
+
+
+@query(
+    f"WITH h AS ({standins.HISTORY}) SELECT {_CASE_ID} AS case_id, true AS ranks_follow, true AS confidence_falls, true AS few FROM h"
+)
+def supervised_suggest_contract(spark, d):
+    """Every sample's list: ranks from 1 and falling confidences, at most three causes."""
+    contexts = _contexts(spark, d)
+    by_rank = F.array_sort(F.collect_list(F.struct("rank", "confidence")))
+    lists = _engine(spark, d).suggest(contexts, 3).groupBy("case_id").agg(by_rank.alias("c"))
+    every = contexts.select("case_id").join(lists, "case_id", "left").withColumn("n", F.coalesce(F.size("c"), F.lit(0)))
+    places, values = F.transform("c", lambda s: s["rank"]), F.transform("c", lambda s: -s["confidence"])
+    known = F.col("n") > 0
+    return every.select(
+        "case_id", F.when(known, places == F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).otherwise(True).alias("ranks_follow"),
+        F.when(known, F.array_sort(values) == values).otherwise(True).alias("confidence_falls"), (F.col("n") <= 3).alias("few"),
+    )
 
 
 # --- files and streams -------------------------------------------------------

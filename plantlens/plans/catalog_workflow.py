@@ -249,7 +249,7 @@ def similar_in_company(spark, d):
 _HASH_TEXT = " || '|' || ".join(
     f"'{c}=' || " + (f"coalesce(format('{{:.6f}}', CAST({c} AS DOUBLE)), '')" if kind == "double" else f"coalesce(CAST({c} AS VARCHAR), '')")
     for c, kind in sorted({
-        "l_orderkey": "long", "l_linenumber": "long", "M_machine_temperature": "double", "M_machine_pression": "double", "M_matiere_humidite": "double",
+        "l_orderkey": "long", "l_linenumber": "long", "l_partkey": "long", "l_suppkey": "long", "price": "long", "M_machine_temperature": "double", "M_machine_pression": "double", "M_matiere_humidite": "double",
         "M_matiere_grammage": "double", "M_methode_vitesse": "double", "cause_racine": "string",
     }.items())
 )

@@ -167,8 +167,9 @@ FROM documents
 """
 
 # Supervised history: machine, material and method features per sample with a cause label.
+HISTORY_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price")
 HISTORY = f"""
-SELECT l_orderkey, l_linenumber, l_quantity AS M_machine_temperature, l_discount * 100 AS M_machine_pression,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS price, l_quantity AS M_machine_temperature, l_discount * 100 AS M_machine_pression,
        l_tax * 100 AS M_matiere_humidite, l_extendedprice / 1000 AS M_matiere_grammage,
        l_quantity - l_tax * 50 AS M_methode_vitesse,
        CASE WHEN l_quantity > 40 THEN 'Température four haute' WHEN l_quantity < 8 THEN 'Buse encrassé'
