@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plantlens.llm.common import stored
 
-EDGE_SCHEMA = "node long, edge long, k1 long, k2 long, first int, last int"
+EDGE_SCHEMA = "node long, edge long, k1 long, k2 long, first int, last int, place int"
 
 
 def repeated_occurrences(edges: DataFrame, name: str) -> DataFrame:

@@ -46,8 +46,8 @@ def _edges_task(window: int, gram: int):
                 base = words.bounds[of]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(node)), pa.array(signed(edge)), pa.array(k1[part][of]), pa.array(k2[part][of]),
-                     pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))],
-                    names=["node", "edge", "k1", "k2", "first", "last"],
+                     pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.array((place - base).astype(np.int32))],
+                    names=["node", "edge", "k1", "k2", "first", "last", "place"],
                 )
 
     return run

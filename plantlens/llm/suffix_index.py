@@ -8,7 +8,8 @@ nearer run end of the wanted byte and shortens its match by the common prefix of
 Rows whose suffixes share ``window`` bytes form a class; in each class the earliest window stays.
 
 A node with more than ``MOST_BRANCHES`` different stretches (a line that a large share of all documents holds) does
-not go to one block: its windows are compared by hash, combined map-side.
+not go to one block: its windows are compared by hash, combined map-side, first in pieces of ``SLOT`` windows and
+then, where pieces differ, one by one.  In both cases only windows are compared whose common core occurs twice.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import anchors, byte_hash, covered, keyed, signed, stored, text_groups
+from plantlens.llm.common import anchors, byte_hash, covered, keyed, mix, signed, stored, text_groups
 from plantlens.llm.sampling import EDGE_SCHEMA, repeated_occurrences
 from plantlens.llm.substring import _list_column, packed_texts, text_runs
 
@@ -181,24 +182,38 @@ def _edges_task(window: int, gram: int):
                 base = offsets[of]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(node)), pa.array(signed(edge)), pa.array(k1[part][of]), pa.array(k2[part][of]),
-                     pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))],
-                    names=["node", "edge", "k1", "k2", "first", "last"],
+                     pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.array((place - base).astype(np.int32))],
+                    names=["node", "edge", "k1", "k2", "first", "last", "place"],
                 )
 
     return run
 
 
-_STRETCHES = "node long, k1 long, k2 long, first int, bytes binary, gram long"
+_STRETCHES = "node long, k1 long, k2 long, first int, place int, bytes binary, core long, piece long, grams array<long>"
+# Window starts are dealt into slots of so many, counted from the place of the node.  All windows of a slot hold its core,
+# so a slot whose core is unlike that of every other stretch of the node holds no repeated window.
+SLOT = 8
+
+
+def _slots(first: np.ndarray, last: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of stretches of windows first..last: the stretch of each, and the first window of the whole slot, and of the next."""
+    low, high = (first - place) // SLOT, (last - place) // SLOT
+    count = high - low + 1
+    row = np.repeat(np.arange(len(first)), count)
+    slot = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return row, place[row] + SLOT * slot, place[row] + SLOT * slot + SLOT
 
 
 def _stretches_task(window: int):
-    """Stretches asked for: their bytes, or for hot nodes the hash of each window."""
+    """Stretches asked for: their bytes, or for hot nodes their slots, with hashes of core, piece and each window."""
+    names = ["node", "k1", "k2", "first", "place", "bytes", "core", "piece", "grams"]
+    hashes = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, spans = _list_column(batch, "spans")
-            node, first, last, hot = (spans.field(c).to_numpy(zero_copy_only=False) for c in ("node", "first", "last", "hot"))
-            hot = hot.astype(bool)
+            node, first, last, place, hot = (spans.field(c).to_numpy(zero_copy_only=False) for c in ("node", "first", "last", "place", "hot"))
+            first, last, place, hot = first.astype(np.int64), last.astype(np.int64), place.astype(np.int64), hot.astype(bool)
             k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
             for a, b, data, offsets in text_runs(batch):
                 own = np.arange(at[a], at[b])
@@ -208,49 +223,82 @@ def _stretches_task(window: int):
                 begin, end = offsets[of] + first[own], offsets[of] + last[own] + window
                 some = own[calm]
                 values = [raw[x:y] for x, y in zip(begin[calm].tolist(), end[calm].tolist(), strict=True)]
+                gap = pa.nulls(len(some), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[some]), pa.array(k1[a:b][of[calm]]), pa.array(k2[a:b][of[calm]]), pa.array(first[some].astype(np.int32)),
-                     pa.array(values, pa.binary()), pa.nulls(len(some), pa.int64())], names=["node", "k1", "k2", "first", "bytes", "gram"])
+                     pa.array(place[some].astype(np.int32)), pa.array(values, pa.binary()), gap, gap, pa.nulls(len(some), hashes)], names=names)
                 if calm.all():
                     continue
-                grams = byte_hash(data).windows(window)
-                n = (last[own] - first[own] + 1)[~calm].astype(np.int64)
-                row = np.repeat(np.flatnonzero(~calm), n)
-                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                rolling = byte_hash(data)
+                grams = signed(rolling.windows(window))
+                wide = own[~calm]
+                row, start, stop = _slots(first[wide], last[wide], place[wide])
+                doc = of[~calm][row]
+                low, high = np.maximum(start, first[wide][row]), np.minimum(stop - 1, last[wide][row])
+                core = rolling.slices(offsets[doc] + stop - 1, offsets[doc] + start + window) ^ (start - place[wide][row]).astype(np.uint64)
+                piece = rolling.slices(offsets[doc] + low, offsets[doc] + high + window)
+                size = high - low + 1
+                cut = np.concatenate([[0], np.cumsum(size)])
+                flat = np.repeat(offsets[doc] + low, size) + np.arange(cut[-1]) - np.repeat(cut[:-1], size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[own][row]), pa.array(k1[a:b][of[row]]), pa.array(k2[a:b][of[row]]), pa.array((first[own][row] + step).astype(np.int32)),
-                     pa.nulls(len(row), pa.binary()), pa.array(signed(grams[begin[row] + step]))], names=["node", "k1", "k2", "first", "bytes", "gram"])
+                    [pa.array(node[wide][row]), pa.array(k1[a:b][doc]), pa.array(k2[a:b][doc]), pa.array(low.astype(np.int32)),
+                     pa.array(place[wide][row].astype(np.int32)), pa.nulls(len(row), pa.binary()), pa.array(signed(core)), pa.array(signed(piece)),
+                     pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(grams[flat]))], names=names)
 
     return run
 
 
+def _shared_parts(node: np.ndarray, first: np.ndarray, place: np.ndarray, texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of stretches that may hold repeated windows: the stretch, and first and last window of each part.
+
+    Slots whose core is unique to a stretch are left out, neighbouring ones that stay are put together.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    base = np.cumsum(sizes) - sizes
+    rolling = byte_hash(np.frombuffer(b"".join(texts), np.uint8))
+    last = first + sizes - window
+    row, start, stop = _slots(first, last, place)
+    shift = base[row] - first[row]
+    core = rolling.slices(shift + stop - 1, shift + start + window) ^ mix(node[row].view(np.uint64) + (start - place[row]).astype(np.uint64))
+    _, which, times = np.unique(core, return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(times[which] > 1)
+    row, low, high = row[kept], np.maximum(start[kept], first[row[kept]]), np.minimum(stop[kept] - 1, last[row[kept]])
+    if not len(row):
+        return row, low, high
+    cut = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (low != np.concatenate([[-1], high[:-1] + 1])))
+    return row[cut], low[cut], high[np.append(cut[1:], len(row)) - 1]
+
+
 def _index_task(window: int, block_bytes: int):
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        _, k1, k2, first, texts = zip(*rows, strict=True)
-        k1, k2, first = np.array(k1), np.array(k2), np.array(first, np.int64)
+        node, k1, k2, first, place, texts = zip(*rows, strict=True)
+        node, k1, k2, first, place = (np.array(x, np.int64) for x in (node, k1, k2, first, place))
+        row, low, high = _shared_parts(node, first, place, texts, window)
+        parts = [np.frombuffer(texts[r][x : y + window], np.uint8) for r, x, y in zip(row.tolist(), (low - first[row]).tolist(), (high - first[row]).tolist(), strict=True)]
         order = np.lexsort((k2, k1))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)
         document = np.empty(len(order), np.int64)
         document[order] = np.cumsum(new) - 1
-        text, offset, _ = earlier_windows([np.frombuffer(t, np.uint8) for t in texts], document, first, window)
+        text, offset, _ = earlier_windows(parts, document[row], low, window) if parts else (row, row, row)
         by = np.lexsort((offset, text))
         text, offset = text[by], offset[by]
         cut = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(offset, prepend=-2) != 1))
         end = np.append(cut[1:], len(text)) - 1 if len(cut) else cut
+        of = row[text[cut]]
         return pa.RecordBatch.from_arrays(
-            [pa.array(k1[text[cut]]), pa.array(k2[text[cut]]), pa.array((first[text[cut]] + offset[cut]).astype(np.int32)),
-             pa.array((first[text[cut]] + offset[end]).astype(np.int32))], names=["k1", "k2", "first", "last"])
+            [pa.array(k1[of]), pa.array(k2[of]), pa.array((low[text[cut]] + offset[cut]).astype(np.int32)),
+             pa.array((low[text[cut]] + offset[end]).astype(np.int32))], names=["k1", "k2", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:  # sorted by node: a node's stretches follow each other
-            for row in zip(*(batch.column(c).to_pylist() for c in ("node", "k1", "k2", "first", "bytes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("node", "k1", "k2", "first", "place", "bytes")), strict=True):
                 if size >= block_bytes and row[0] != rows[-1][0]:
                     yield solve(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if rows:
             yield solve(rows)
 
@@ -264,18 +312,29 @@ def earlier_spans(docs: DataFrame, packed: DataFrame, id_col: str, text_col: str
     here = (F.col("least")["k1"] == F.col("k1")) & (F.col("least")["k2"] == F.col("k2")) & (F.col("least")["first"] == F.col("first"))
     copies = known.where(~here).select("k1", "k2", "first", "last")
     asked = known.where(here & (F.col("branches") > 1)).select(
-        "k1", "k2", F.struct("node", "first", "last", (F.col("branches") > most_branches).alias("hot")).alias("span"))
+        "k1", "k2", F.struct("node", "first", "last", "place", (F.col("branches") > most_branches).alias("hot")).alias("span"))
     asked = asked.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
     once = packed.join(asked, ["k1", "k2"])
     sent = stored(once.mapInArrow(_stretches_task(window), _STRETCHES), "suffix-stretches")
-    calm = sent.where("bytes is not null").select("node", "k1", "k2", "first", "bytes").dropDuplicates(["node", "k1", "k2", "first"])
-    calm = calm.repartition("node").sortWithinPartitions("node", "k1", "k2", "first")
+    at = ["node", "k1", "k2", "first"]
+    calm = sent.where("bytes is not null").select(*at, "place", "bytes").dropDuplicates(at)
+    calm = calm.repartition("node").sortWithinPartitions(*at)
     indexed = calm.mapInArrow(_index_task(window, block_bytes), "k1 long, k2 long, first int, last int")
-    place = F.struct("k1", "k2", "first")
-    hot = sent.where("bytes is null").select("node", "gram", "k1", "k2", "first")
-    earliest = hot.groupBy("node", "gram").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest != latest")
-    later = hot.join(earliest.select("node", "gram", "earliest"), ["node", "gram"]).where(place != F.col("earliest"))
-    return copies.unionByName(indexed).unionByName(later.select("k1", "k2", "first", F.col("first").alias("last")))
+    # hot nodes: slots with a shared core, of them one of each equal piece, of those the single windows
+    where = F.struct("k1", "k2", "first")
+    slots = sent.where("bytes is null").select(*at, "core", "piece", "grams").dropDuplicates(at)
+    cores = slots.groupBy("node", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "core")
+    slots = stored(slots.join(cores, ["node", "core"], "left_semi"), "suffix-slots")
+    kinds = slots.groupBy("node", "piece").agg(F.min(where).alias("earliest"))
+    slots = stored(slots.join(kinds, ["node", "piece"]).withColumn("again", where != F.col("earliest")), "suffix-pieces")
+    again = slots.where("again").select("k1", "k2", "first", (F.col("first") + F.size("grams") - 1).alias("last"))
+    # dealt out by place before the fan-out, as the pieces of a hot node lie together
+    each = slots.where("not again").repartition("k1", "k2", "first").select("node", "k1", "k2", F.col("first").alias("low"), F.posexplode("grams").alias("step", "gram"))
+    each = each.select("node", "gram", "k1", "k2", (F.col("low") + F.col("step")).alias("first"))
+    earliest = each.groupBy("node", "gram").agg(F.min(where).alias("earliest"), F.max(where).alias("latest")).where("earliest != latest")
+    later = each.join(earliest.select("node", "gram", "earliest"), ["node", "gram"]).where(where != F.col("earliest"))
+    later = later.select("k1", "k2", "first", F.col("first").alias("last"))
+    return copies.unionByName(indexed).unionByName(again).unionByName(later)
 
 
 def _cut_task(window: int):
