@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from plantlens.llm.common import Words, keyed, lower_ascii, mix, mix_int, signed, stored, text_groups
 
-CLASSES = 32
-REST, END_CLASS, TAIL = 29, 30, 31
-CLUSTERS = 29
+CLASSES = 16
+REST, END_CLASS, TAIL = 13, 14, 15
+CLUSTERS = 13
 FREQUENT = 1 << 18
 CLUSTERED = 1 << 16
 NEIGHBOURS = 15
@@ -73,13 +73,27 @@ class Vocabulary:
     classes: np.ndarray
     total: int
     distinct: int
+    starts: np.ndarray | None = None
+    shift: np.uint64 = np.uint64(0)
 
     def find(self, tokens: np.ndarray) -> np.ndarray:
-        """Place of each token, or -1."""
+        """Place of each token, or -1; the upper bits of a hash tell where to look first."""
+        out = np.full(len(tokens), -1)
         if not len(self.hashes):
-            return np.full(len(tokens), -1)
-        at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == tokens, at, -1)
+            return out
+        if self.starts is None:
+            self.shift = np.uint64(max(1, 64 - len(self.hashes).bit_length()))
+            self.starts = np.searchsorted(self.hashes >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64))
+        cell = (tokens >> self.shift).astype(np.int64)
+        at, stop = self.starts[cell], self.starts[cell + 1]
+        open_ = np.flatnonzero(at < stop)
+        while len(open_):
+            here = at[open_]
+            found = self.hashes[here] == tokens[open_]
+            out[open_[found]] = here[found]
+            at[open_] += 1
+            open_ = open_[~found & (at[open_] < stop[open_])]
+        return out
 
     def class_of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = self.find(tokens)
@@ -177,12 +191,24 @@ def _clusters(profile: np.ndarray, seed: int = 13) -> np.ndarray:
 
 
 def vocabulary_of(counts: DataFrame, texts: DataFrame) -> Vocabulary:
-    """The ``FREQUENT`` most frequent tokens with classes; this bounded list is all that reaches the driver."""
+    """The most frequent tokens, at most ``FREQUENT``, with classes; this bounded list is all that reaches the driver.
+
+    They are those above a threshold, taken from a histogram of counts on a log scale (a thousand cells at most).
+    """
     spark = counts.sparkSession
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
+    cell = F.floor(F.log2("c") * 16).cast("int")
+    cells = counts.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).orderBy(F.desc("cell")).collect()
+    total, distinct = sum(r["c"] for r in cells), sum(r["n"] for r in cells)
+    least, held = 1 << 20, 0
+    for r in cells:
+        held += r["n"]
+        if held >= FREQUENT:
+            break
+        least = r["cell"]
+    top = counts.where((cell >= least) | (F.col("h") == signed(np.array([END]))[0].item())).toPandas()
     hashes, count = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    rank = np.arange(len(hashes))
+    rank = np.empty(len(hashes), np.int64)
+    rank[np.lexsort((hashes, -count))] = np.arange(len(hashes))
     order = np.argsort(hashes)
     vocabulary = Vocabulary(hashes[order], count[order], np.full(len(order), TAIL), int(total), int(distinct))
     rank = np.minimum(rank[order], CLUSTERED)
