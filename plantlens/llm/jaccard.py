@@ -71,9 +71,9 @@ def schemes(most: int, hundredths: int) -> tuple[np.ndarray, ...]:
 
     Scheme 2b is band b itself, 2b + 1 the border to the next band.
     """
-    low = [1]
+    low, ratio = [1], max(BAND_RATIO, 100 / hundredths)  # so that linked sets lie in neighbouring bands at most
     while low[-1] <= most:
-        low.append(max(low[-1] + 1, math.floor(low[-1] * BAND_RATIO) + 1))
+        low.append(math.floor(low[-1] * ratio) + 1)
     rows = []
     for b in range(len(low) - 1):
         a, z = low[b], low[b + 1] - 1

@@ -142,10 +142,11 @@ def mixed(
     table = placed.groupBy("s", "block").agg(F.sum("weight").alias("words")).join(plan.select("s", "quota"), "s")
     turn = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed + 1), "s", "block"), "block")
     table = table.withColumn("upto", F.sum("words").over(turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    first_cut = F.min(F.when(F.col("upto") > F.col("quota"), F.struct("upto", "block"))).over(Window.partitionBy("s"))
+    some = F.col("quota") > 0
+    first_cut = F.min(F.when(some & (F.col("upto") > F.col("quota")), F.struct("upto", "block"))).over(Window.partitionBy("s"))
     table = table.withColumn("cut", first_cut["block"])
     table = stored(table.select(
-        "s", "block", (F.col("upto") <= F.col("quota")).cast("int").alias("drawn"), F.col("block").eqNullSafe(F.col("cut")).alias("at_cut"),
+        "s", "block", (some & (F.col("upto") <= F.col("quota"))).cast("int").alias("drawn"), F.col("block").eqNullSafe(F.col("cut")).alias("at_cut"),
         (F.col("quota") - F.col("upto") + F.col("words")).alias("gap"),
     ), "mix-blocks")
     joined = placed.join(table, ["s", "block"])
