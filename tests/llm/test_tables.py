@@ -142,7 +142,7 @@ def test_range_join_matches_brute_force(spark, monkeypatch, per_cell, chunk):
     centres = rng.normal(size=(12, 6))
     data = [(i, (centres[i % 12] + rng.normal(scale=[0.02, 0.2, 0.5][i % 3], size=6)).tolist()) for i in range(240)]
     data += [(300 + i, [2.0 * x for x in data[5][1]]) for i in range(30)]
-    odd = [(400, None), (401, [0.0] * 6), (402, [float("nan")] * 6), (403, [1.0, None, 0, 0, 0, 0]), (404, []), (405, [float("inf")] + [0.0] * 5), (406, [1.0, 2.0]), (407, [1.0, 2.1]),
+    odd = [(400, None), (401, [0.0] * 6), (402, [float("nan")] * 6), (403, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (404, []), (405, [float("inf")] + [0.0] * 5), (406, [1.0, 2.0]), (407, [1.0, 2.1]),
            (408, [1e300] * 6), (409, [1e-300] * 6)]
     x = np.array([v for _, v in data] + [[1.0] * 6] * 2)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
