@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,5 +33,35 @@ def components(links: DataFrame) -> DataFrame:
         state = after
 
 
+class Forest:
+    """Connected targets of one task: links of probes merge the targets they touch."""
+
+    def __init__(self, size: int) -> None:
+        self.label = np.arange(size)
+
+    def join(self, probe: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Merge the targets of each probe (sorted by probe); the place of each probe's first link."""
+        first = np.flatnonzero(np.diff(probe, prepend=-1))
+        if not len(probe):
+            return first
+        run = np.cumsum(np.diff(probe, prepend=-1) != 0) - 1
+        while True:
+            before = self.label[target]
+            least = np.minimum.reduceat(before, first)
+            np.minimum.at(self.label, target, least[run])
+            # a merged target takes its former root along
+            np.minimum.at(self.label, before, least[run])
+            if (self.label[target] == before).all():
+                return first
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Targets that are not their own root, and their roots."""
+        root = self.label
+        while (root[root] != root).any():
+            root = root[root]
+        some = np.flatnonzero(root != np.arange(len(root)))
+        return some, root[some]
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())

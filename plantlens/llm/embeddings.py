@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.llm.common import stored
-from plantlens.llm.components import components
+from plantlens.llm.components import Forest, components
 
 COSINE = 0.9
 PER_CELL = 4096
@@ -128,7 +128,7 @@ class _Chunk:
         self.node, self.weight = (np.concatenate([h[i] for h in self.held]) for i in (0, 1))
         self.x = np.concatenate([h[2] for h in self.held])
         self.low = self.x.astype(np.float32)
-        self.label = np.arange(len(self.node))
+        self.forest = Forest(len(self.node))
         self.count = np.zeros(len(self.node), np.int64)
         self.ready = True
 
@@ -152,25 +152,18 @@ class _Chunk:
             probe, target = probe[other], target[other]
             if not len(probe):
                 continue
-            first = np.flatnonzero(np.diff(probe, prepend=-1))
+            first = self.forest.join(probe, target)
             links = np.add.reduceat(self.weight[target], first)
             if not inside:
                 np.add.at(self.count, target, weight[some][probe])
-            run = np.cumsum(np.diff(probe, prepend=-1) > 0) - 1
-            while True:
-                least = np.minimum.reduceat(self.label[target], first)
-                before = self.label[target]
-                np.minimum.at(self.label, target, least[run])
-                if (self.label[target] == before).all():
-                    break
             yield node[some][probe[first]], self.node[target[first]], links
 
     def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         if not self.ready:
             return None
-        root = self.label
-        while (root[root] != root).any():
-            root = root[root]
+        root = np.arange(len(self.node))
+        child, parent = self.forest.edges()
+        root[child] = parent
         some = np.flatnonzero((self.count > 0) | (root != np.arange(len(root))))
         return self.node[some], self.node[root[some]], self.count[some]
 

@@ -9,8 +9,8 @@ would be a candidate), so a scheme has some spare segments, as many as make inde
 with more empty segments than spare ones also indexes the one-deletion neighbourhoods of its segments, which
 count for two differences each; if even that does not reach the bound, it indexes its single tokens.
 
-Candidates are compared exactly.  In the group of a key, every set is first compared with the least one; only keys whose
-sets are still in different components after that compare the others.
+Candidates are compared exactly.  In the group of a key, every set is first compared with the one that shares keys
+with most others.  Sets whose groups are still apart after that form clusters, which are compared in chunks.
 """
 
 from __future__ import annotations
@@ -25,13 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.llm.common import RollingHash, Words, keyed, lower_ascii, mix, mix_int, signed, stored, text_groups
-from plantlens.llm.components import components
+from plantlens.llm.components import Forest, components
 from plantlens.llm.substring import packed_texts, unpacked
 
 NGRAM = 4
 # Linked: HUNDREDTHS / 100 of the union or more are common.
 HUNDREDTHS = 85
 BAND_RATIO = 1.5
+# Sets of a chunk of targets, and tokens of the probes that meet it at a time.
+CHUNK = 256
+PROBE_TOKENS = 1 << 13
 _DOC_BITS = np.uint64(10)
 
 
@@ -224,34 +227,128 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = keyed(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
     rows = stored(texts.mapInArrow(_sets_task(ngram), "k1 long, k2 long, doc_id long, sid long, n long"), "jaccard-rows")
     sent = texts.select("text").mapInArrow(_keys_task(ngram, hundredths), "key long, sid long, n int")
-    shared = sent.groupBy("key").agg(F.min("sid").alias("least"), F.max("sid").alias("greatest")).where("least != greatest").select("key", "least")
-    groups = stored(sent.join(shared, "key").distinct(), "jaccard-groups")
-
-    chosen = rows.join(groups.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("at"))
+    shared = sent.groupBy("key").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x != y").select("key")
+    groups = stored(sent.join(shared, "key", "left_semi").distinct(), "jaccard-groups")
+    # a set that shares keys with many others is likely the text the others were copied from: it is compared first
+    met = groups.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("met"))
+    met = groups.join(met, "key").groupBy("sid").agg(F.sum("met").alias("met"), F.first("n").alias("n"))
+    members = stored(met, "jaccard-members")
+    groups = stored(groups.select("key", "sid").join(members, "sid"), "jaccard-groups")
+
+    chosen = rows.join(members.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("at"))
     chosen = chosen.select("sid", "at.k1", "at.k2")
     contents = packed_texts(docs, id_col, text_col).join(chosen, ["k1", "k2"]).select("sid", "packed")
     contents = stored(contents.mapInArrow(_contents_task(ngram), "sid long, tokens binary").dropDuplicates(["sid"]), "jaccard-contents")
 
-    # every set with the least of its group
-    size = rows.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"))
-    size = size.join(contents.select("sid"), "sid", "left_semi")
-    first = groups.where("sid != least").select(F.col("sid").alias("a"), F.col("least").alias("b"), F.col("n").alias("na")).distinct()
-    first = stored(first.join(size.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b").where(_alike(hundredths)).select("a", "b"), "jaccard-pairs")
-    links = _verified(first, contents, hundredths)
-
-    # the others, where a group still has sets of different components
-    roots = components(links)
-    of = groups.join(roots.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    open_keys = of.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    rest = stored(of.join(open_keys, "key", "left_semi").where("sid != least"), "jaccard-rest")
-    left = rest.select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = rest.select("key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    second = left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _alike(hundredths)).select("a", "b").distinct()
-    second = second.join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(stored(second, "jaccard-pairs"), contents, hundredths))
+    opened = groups.withColumn("component", F.col("sid"))
+    first = opened.groupBy("key").agg(F.max(F.struct("met", "sid", "n")).alias("r")).select("key", F.col("r.sid").alias("b"), F.col("r.n").alias("nb"))
+    pairs = opened.join(first, "key").where(F.col("sid") != F.col("b")).select(F.col("sid").alias("a"), "b", F.col("n").alias("na"), "nb")
+    pairs = stored(pairs.where(_alike(hundredths)).select("a", "b").distinct(), "jaccard-pairs")
+    links = _verified(pairs, contents, hundredths)
+
+    # groups whose sets are still apart
+    roots = components(links).select(F.col("node").alias("sid"), "component")
+    of = groups.join(roots, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    keys = of.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("sid").alias("least")).where("x != y").select("key", "least")
+    rest = stored(of.join(keys, "key").select("sid", "least", "n", "component").distinct(), "jaccard-rest")
+    links = links.unionByName(_linked_in_clusters(rest, contents, hundredths))
     return rows, components(links).select(F.col("node").alias("sid"), F.col("component").alias("root"))
 
 
+def _linked_in_clusters(rest: DataFrame, contents: DataFrame, hundredths: int) -> DataFrame:
+    """Links ``a, b`` that connect what is linked among sets whose keys touch, chunk by chunk, without listing pairs.
+
+    Sets that share keys, directly or through others, are a cluster.  Its sets are cut into chunks of ``CHUNK`` targets; every
+    set meets its own chunk and those before it.  A chunk counts common tokens by an index of its tokens and
+    returns a spanning forest of the links it finds.
+    """
+    touch = components(rest.select(F.col("sid").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
+    members = rest.groupBy("sid").agg(F.first("n").alias("n")).join(touch, "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid"))
+    members = stored(members, "jaccard-clusters")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
+    placed = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "sid"), F.col("chunks")))
+    placed = placed.join(contents, "sid").select("cluster", "own", "sid", "tokens")
+    target = placed.select("cluster", F.col("own").alias("chunk"), F.lit(0).alias("role"), "sid", "tokens")
+    probe = placed.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("chunk"), F.lit(1).alias("role"), "sid", "tokens")
+    dealt = target.unionByName(probe).repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "role", "sid")
+    return stored(dealt.mapInArrow(_clusters_task(hundredths), "a long, b long"), "jaccard-links")
+
+
+class _Targets:
+    """Sets of one chunk, indexed by token; probes come in batches."""
+
+    def __init__(self, hundredths: int) -> None:
+        self.hundredths, self.sid, self.sets, self.forest = hundredths, [], [], None
+
+    def add(self, sid: int, tokens: np.ndarray) -> None:
+        self.sid.append(sid)
+        self.sets.append(tokens)
+
+    def _index(self) -> None:
+        self.sid, self.size = np.array(self.sid, np.int64), np.array([len(s) for s in self.sets])
+        tokens, owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.size)
+        order = np.argsort(tokens, kind="stable")
+        self.owner, tokens = owner[order], tokens[order]
+        self.first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        self.token, self.times = tokens[self.first], np.diff(np.append(self.first, len(tokens)))
+        self.forest = Forest(len(self.sid))
+
+    def meet(self, sid: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Probes with a linked target, and one such target each."""
+        if self.forest is None:
+            self._index()
+        size = np.array([len(s) for s in sets])
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        at = np.minimum(np.searchsorted(self.token, tokens), len(self.token) - 1)
+        here = np.flatnonzero(self.token[at] == tokens)
+        at, owner = at[here], owner[here]
+        times = self.times[at]
+        ends = np.cumsum(times)
+        flat = np.repeat(self.first[at] - ends + times, times) + np.arange(ends[-1] if len(ends) else 0)
+        width = len(self.sid)
+        common = np.bincount(np.repeat(owner, times) * width + self.owner[flat], minlength=len(sets) * width).reshape(len(sets), width)
+        near = 100 * common >= self.hundredths * (size[:, None] + self.size[None, :] - common)
+        probe, target = np.nonzero(near & (sid[:, None] != self.sid[None, :]))
+        first = self.forest.join(probe, target)
+        return sid[probe[first]], self.sid[target[first]]
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        if self.forest is None:
+            return none, none
+        node, root = self.forest.edges()
+        return self.sid[node], self.sid[root]
+
+
+def _clusters_task(hundredths: int):
+    def packed(rows: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, targets = None, _Targets(hundredths)
+        for batch in batches:  # sorted by cluster, chunk and role
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "chunk", "role", "sid")), strict=True))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]
+            at = 0
+            while at < len(rows):
+                if rows[at][:2] != key:
+                    yield packed(targets.close())
+                    key, targets = rows[at][:2], _Targets(hundredths)
+                to, held = at, 0
+                while to < len(rows) and rows[to][:3] == rows[at][:3] and (to == at or held < PROBE_TOKENS):
+                    held += len(sets[to])
+                    to += 1
+                if rows[at][2] == 0:
+                    for i in range(at, to):
+                        targets.add(rows[i][3], sets[i].copy())
+                else:
+                    yield packed(targets.meet(np.array([r[3] for r in rows[at:to]], np.int64), sets[at:to]))
+                at = to
+        yield packed(targets.close())
+
+    return run
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, hundredths: int = HUNDREDTHS) -> DataFrame:
     """``k1, k2, doc_id, n, root`` of every row; rows with equal ``root`` are connected by links (null: empty set)."""
     rows, roots = linked_sets(docs, id_col, text_col, ngram, hundredths)
