@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plantlens.session import join_small, materialize, named
@@ -32,15 +33,25 @@ _UNBOUNDED = Window.unboundedPreceding
 
 
 def _sorted_and_frozen(df: DataFrame, series: list[str], order: list[str]) -> DataFrame:
-    """Globally sort by (series, order, rest of the row); add ``_uid`` growing in that order."""
+    """Globally sort by (series, order, rest of the row); add ``_uid`` growing in that order.
+
+    Range bounds are sampled on series, order and the rest up to its first text, of which 32 characters count: whole
+    texts never reach the driver, and rows that agree in that much are sorted inside one partition.
+    """
     sortable = {
         f.name
         for f in df.schema.fields
         if f.dataType.typeName() not in ("map", "variant")
     }
     rest = sorted(c for c in df.columns if c in sortable and c not in (*series, *order))
-    keys = [*series, *order, *rest]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    bounds = [named(c) for c in (*series, *order)]
+    for c in rest:
+        kind = df.schema[c].dataType
+        if not isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            bounds += [F.substring(named(c), 1, 32)] if isinstance(kind, T.StringType) else []
+            break
+        bounds.append(named(c))
+    ranged = df.repartitionByRange(*bounds).sortWithinPartitions(*[named(c) for c in (*series, *order, *rest)])
     return materialize(ranged.withColumn("_uid", F.monotonically_increasing_id()))
 
 

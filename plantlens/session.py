@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,26 @@ def build_session(app_name: str = "plantlens", master: str | None = None, **conf
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, so that Python functions run wherever the driver was started.
+
+    Not needed where the package is installed on every machine.  A session gets it once.
+    """
+    if getattr(spark, "_plantlens_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="plantlens-package-")  # on the driver only; Spark copies the archive
+    archive = Path(folder) / "plantlens.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, Path("plantlens") / file.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    spark._plantlens_shipped = True
 
 
 def named(column: str) -> Column:
@@ -93,13 +114,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_key_{k}" for k in on])
 
 
-def read_table(spark: SparkSession, path: str, bytes_per_task: int = 64 << 20) -> DataFrame:
+def read_table(spark: SparkSession, path: str, most_bytes: int = 256 << 20) -> DataFrame:
     """Read a Parquet table; a small one is spread over all cores.
 
-    A file with one row group is one task however many cores there are.  Tables that already
-    fill the cluster (by the optimizer's size estimate) are read as they are, without a shuffle.
+    A file with one row group is one task however many cores there are.  Larger tables (by the optimizer's size
+    estimate) are read as they are: nothing beyond ``most_bytes`` is ever shuffled just to be read.
     """
     df = spark.read.parquet(path)
-    tasks = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(tasks) if (1 << 20) < size < tasks * bytes_per_task else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if (1 << 20) < size < most_bytes else df
