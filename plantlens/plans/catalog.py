@@ -1375,15 +1375,15 @@ def file_round_trip(spark, d):
     return typed.select("numero", "temperature", "poste", F.date_format("jour", "yyyy-MM-dd").alias("jour"), "libelle")
 
 
-def _run_stream(spark, stream: DataFrame, purpose: str) -> DataFrame:
-    """Drain a stream into a table and read it back."""
+def _run_stream(spark, stream: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """Drain a stream into a table; that table and the stream's checkpoint."""
     folder = work_folder(spark, purpose)
     running = (
         stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out"), f"{folder}/state"
 
 
 def _event_stream(spark, d):
@@ -1407,18 +1407,17 @@ def stream_monitor(spark, d):
         F.col("event_type").alias("series"), "parameter", "mean", "std"
     )
     samples = _event_stream(spark, d).select(F.col("event_type").alias("series"), F.lit("value").alias("parameter"), "ts", "value")
-    alerts = _run_stream(spark, monitor.monitor(samples, baseline), "monitor")
+    alerts, _ = _run_stream(spark, monitor.monitor(samples, baseline), "monitor")
     return rounded(alerts.select("series", "rule", "statistic"))
 
 
-@query(
-    "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS heure, event_type AS statut, count(*) AS n FROM events "
-    "WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2"
-)
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS heure, event_type AS statut, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_status_counts(spark, d):
-    """Events per hour and type that the watermark has closed."""
-    closed = _run_stream(spark, monitor.status_counts(_event_stream(spark, d), "ts", "event_type"), "counts")
-    return closed.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("heure"), "statut", "n")
+    """Events per hour and type: the windows that the watermark has closed, and those still open at the end."""
+    counts = monitor.status_counts(_event_stream(spark, d), "ts", "event_type")
+    closed, checkpoint = _run_stream(spark, counts, "counts")
+    both = closed.unionByName(monitor.open_windows(spark, checkpoint, "event_type"))
+    return both.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("heure"), "statut", "n")
 
 
 # --- further lists and labels ------------------------------------------------
