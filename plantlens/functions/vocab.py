@@ -149,3 +149,23 @@ DEFECT_CATALOGUE = (
      "Defaut de collage ou de soudure sur ligne sacherie"),
     ("AUT-00", "Autre (saisie libre)", "—", ""),
 )
+
+# Sentences of the solution sheets, by role and line; {} takes the figure or the solution text.
+SHEET_SENTENCES = {
+    "production": (
+        ("Gain estime : {} €/an", "Gain : non-conformites evitees"),
+        ("Productivite : +{} %", None),
+        ("Mise en place : {} jour(s), sans arret ligne planifie", None),
+        ("Cout : {} €", "Cout : negligeable"),
+    ),
+    "technician": (
+        ("Mode operatoire : {}", "Mode operatoire a definir"),
+        (None, "Moins de retouches a gerer pour son equipe"),
+        (None, "Il adapte la consigne au terrain — c'est lui le relais"),
+    ),
+    "operator": (
+        ("« {} »", "Consigne a definir"),
+        (None, "Ce qui change a ton poste, rien de plus"),
+        (None, "Bouton « je bloque » si ca ne marche pas : c'est traite"),
+    ),
+}

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plantlens.functions.text import shorten
 from plantlens.functions.vocab import (
     DEFECT_CATALOGUE,
     DEPTH,
     ROLE_GROUPS,
+    SHEET_SENTENCES,
     STATUS_LABELS,
     TEMPLATES,
     TRANSITIONS,
@@ -399,44 +401,35 @@ def case_kpis(cases: DataFrame) -> DataFrame:
 
 
 def solution_sheets(projects: DataFrame) -> DataFrame:
-    """The proposed solution worded for each role: ``projet_id, role, line, text``."""
-    from plantlens.functions.text import shorten
+    """The proposed solution worded for each role: ``projet_id, role, line, text``.
 
-    def amount(c: str) -> Column:
-        return F.translate(F.format_number(F.col(c), 0), ",", " ")
+    A sentence with a blank is used when its figure is given and not zero, else the one without, if there is one.
+    """
+    solution = F.trim(F.coalesce("solution_proposee", F.lit("")))
 
-    def given(c: str) -> Column:
-        return F.coalesce(F.col(c), F.lit(0.0)) != 0
+    def figure(c: str, shown: Column) -> Column:
+        return F.when(F.coalesce(F.col(c), F.lit(0.0)) != 0, shown)
 
-    solution = F.trim(F.coalesce("solution_proposee", F.lit("")))
-    short = shorten(solution)
-    has = solution != ""
-    lines = {
-        "production": [
-            F.when(given("gain_estime_eur"), F.concat(F.lit("Gain estime : "), amount("gain_estime_eur"), F.lit(" €/an")))
-            .otherwise("Gain : non-conformites evitees"),
-            F.when(given("gain_productivite"), F.format_string("Productivite : +%.1f %%", F.col("gain_productivite"))),
-            F.when(
-                given("temps_estime_jours"),
-                F.concat(
-                    F.lit("Mise en place : "), F.format_number("temps_estime_jours", 0),
-                    F.lit(" jour(s), sans arret ligne planifie"),
-                ),
-            ),
-            F.when(given("cout_estime"), F.concat(F.lit("Cout : "), amount("cout_estime"), F.lit(" €")))
-            .otherwise("Cout : negligeable"),
-        ],
-        "technician": [
-            F.when(has, F.concat(F.lit("Mode operatoire : "), short)).otherwise("Mode operatoire a definir"),
-            F.lit("Moins de retouches a gerer pour son equipe"),
-            F.lit("Il adapte la consigne au terrain — c'est lui le relais"),
-        ],
-        "operator": [
-            F.when(has, F.concat(F.lit("« "), short, F.lit(" »"))).otherwise("Consigne a definir"),
-            F.lit("Ce qui change a ton poste, rien de plus"),
-            F.lit("Bouton « je bloque » si ca ne marche pas : c'est traite"),
-        ],
+    def whole(c: str) -> Column:
+        return figure(c, F.translate(F.format_number(F.col(c), 0), ",", " "))
+
+    own = F.when(solution != "", shorten(solution))
+    blanks = {
+        "production": (
+            whole("gain_estime_eur"), figure("gain_productivite", F.format_string("%.1f", F.col("gain_productivite"))),
+            figure("temps_estime_jours", F.format_number("temps_estime_jours", 0)), whole("cout_estime"),
+        ),
+        "technician": (own, None, None),
+        "operator": (own, None, None),
     }
+
+    def sentence(filled: str | None, plain: str | None, value: Column | None) -> Column:
+        if filled is None:
+            return F.lit(plain)
+        before, after = filled.split("{}")
+        return F.coalesce(F.concat(F.lit(before), value, F.lit(after)), F.lit(plain))
+
+    lines = {r: [sentence(*pair, value) for pair, value in zip(SHEET_SENTENCES[r], blanks[r], strict=True)] for r in SHEET_SENTENCES}
     roles = F.array(*[F.struct(F.lit(r).alias("role"), F.array_compact(F.array(*ls)).alias("lines")) for r, ls in lines.items()])
     unfolded = projects.select(F.col("id").alias("projet_id"), F.explode(roles).alias("_r"))
     return unfolded.select("projet_id", "_r.role", F.posexplode("_r.lines").alias("line", "text"))
