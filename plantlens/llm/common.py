@@ -79,6 +79,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Keys (two longs each) that may be broadcast; more are joined by shuffle.
+MAX_BROADCAST_KEYS = 500_000
+
+
+def few(df: DataFrame, name: str) -> DataFrame:
+    """A stored table of keys, marked for broadcast if it has at most ``MAX_BROADCAST_KEYS`` rows."""
+    df = stored(df, name)
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_KEYS else df
+
+
+def text_keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """``k1`` and ``k2`` of the rows of a table, as in ``keyed``."""
+    id_, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return [F.coalesce(id_, F.lit(-1)).alias("k1"), F.xxhash64(id_.isNull(), text).alias("k2")]
+
+
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with all columns, less the rows whose ``k1, k2`` are in ``gone``, and one row for each in ``repeated``.
+
+    The keys are broadcast up to a checked number, so that texts are shuffled only beyond it.
+    """
+    marks = few(gone.distinct().withColumn("mark", F.lit(1)).unionByName(repeated.distinct().withColumn("mark", F.lit(2))), "marks")
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *text_keys(docs, id_col, text_col))
+    marked = wide.join(marks, ["k1", "k2"], "left")
+    once = marked.where("mark is null").select("row.*")
+    if marks.where("mark = 2").isEmpty():
+        return once
+    return once.unionByName(marked.where("mark = 2").dropDuplicates(["k1", "k2"]).select("row.*"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit values that spreads every bit (in place on its copy)."""
     x = x + _GOLD

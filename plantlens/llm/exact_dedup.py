@@ -10,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import stored
+from plantlens.llm.common import MAX_BROADCAST_KEYS, stored, text_keys, without
 
 PREFIX_BYTES = 64
-# Keys of surviving groups are broadcast only up to this number (two longs each: 16 MB at most); beyond, they are joined by shuffle.
-MAX_BROADCAST_KEYS = 500_000
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_bytes: int = PREFIX_BYTES) -> DataFrame:
@@ -60,15 +58,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose text has no copy, and of each group the row with the largest id; all columns stay.
 
-    Only the dropped ids are joined to the texts: rows of a group other than the kept id.  Rows that repeat
-    the kept id and its text are reduced to one by their hash.
+    Ids and hashes are joined with the groups; only the keys of dropped rows meet the texts.  Rows that repeat the
+    kept id and its text are reduced to one.
     """
     groups = stored(exact_groups(docs, id_col, text_col), "exact-groups")
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    hashed = docs.withColumn("_sha_of_text", F.sha2(text, 256))
-    named = groups.select(F.col("text_sha256").alias("_sha_of_text"), F.col("keep_id").alias("_keep_of_text"), F.col("group_size").alias("_size_of_text"))
-    joined = hashed.join(named, "_sha_of_text", "left")
-    single = joined.where("_size_of_text is null").select(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = joined.where(F.col("_size_of_text").isNotNull() & F.col(f"`{id_col}`").eqNullSafe(F.col("_keep_of_text")))
-    one = kept.dropDuplicates(["_sha_of_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return single.unionByName(one)
+    digest = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")), 256)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), digest.alias("text_sha256"), *text_keys(docs, id_col, text_col))
+    of_groups = stored(rows.join(groups, "text_sha256").select("k1", "k2", F.col("id").eqNullSafe(F.col("keep_id")).alias("stays")), "exact-members")
+    gone = of_groups.where("not stays").select("k1", "k2")
+    repeated = of_groups.where("stays").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2")
+    return without(docs, gone, repeated, id_col, text_col)

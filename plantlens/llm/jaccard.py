@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import RollingHash, Words, keyed, lower_ascii, mix, mix_int, signed, stored, text_groups
+from plantlens.llm.common import RollingHash, Words, keyed, lower_ascii, mix, mix_int, signed, stored, text_groups, without
 from plantlens.llm.components import Forest, components
 from plantlens.llm.substring import packed_texts, unpacked
 
@@ -378,11 +378,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ng
     kept = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("at"), F.count(F.lit(1)).alias("rows"))
     gone = rows.join(kept, "root").where((F.col("k1") != F.col("at")["k1"]) | (F.col("k2") != F.col("at")["k2"])).select("k1", "k2")
     repeated = rows.where("root is not null").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("k1", "k2")
-    names = docs.columns
-    id_, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(id_, F.lit(-1)).alias("k1"), F.xxhash64(id_.isNull(), text).alias("k2"))
-    marks = stored(gone.distinct().withColumn("mark", F.lit(1)).unionByName(repeated.join(gone, ["k1", "k2"], "left_anti").withColumn("mark", F.lit(2))), "jaccard-marks")
-    marked = wide.join(marks, ["k1", "k2"], "left")
-    once = marked.where("mark is null").select("row.*")
-    several = marked.where("mark = 2").dropDuplicates(["k1", "k2"]).select("row.*")
-    return once.unionByName(several)
+    return without(docs, gone, repeated.join(gone, ["k1", "k2"], "left_anti"), id_col, text_col)
