@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class Forest:
-    """Connected targets of one task: links of probes merge the targets they touch."""
+    """Connected targets of one task: links of probes merge the targets they touch; between calls every label is a root."""
 
     def __init__(self, size: int) -> None:
         self.label = np.arange(size)
@@ -46,21 +46,23 @@ class Forest:
             return first
         run = np.cumsum(np.diff(probe, prepend=-1) != 0) - 1
         while True:
-            before = self.label[target]
-            least = np.minimum.reduceat(before, first)
-            np.minimum.at(self.label, target, least[run])
-            # a merged target takes its former root along
-            np.minimum.at(self.label, before, least[run])
-            if (self.label[target] == before).all():
+            self._compress()
+            root = self.label[target]
+            least = np.minimum.reduceat(root, first)[run]
+            apart = root != least
+            if not apart.any():
                 return first
+            # only roots are hooked, so that no target loses its former root
+            np.minimum.at(self.label, root[apart], least[apart])
+
+    def _compress(self) -> None:
+        while ((up := self.label[self.label]) != self.label).any():
+            self.label = up
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         """Targets that are not their own root, and their roots."""
-        root = self.label
-        while (root[root] != root).any():
-            root = root[root]
-        some = np.flatnonzero(root != np.arange(len(root)))
-        return some, root[some]
+        some = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return some, self.label[some]
 
 
 def _state(edges: DataFrame) -> tuple:

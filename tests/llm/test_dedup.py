@@ -8,7 +8,7 @@ import pytest
 
 from plantlens.llm import exact_dedup, jaccard, substring, suffix_index
 from plantlens.llm.common import Words, anchors, byte_hash, covered
-from plantlens.llm.components import components
+from plantlens.llm.components import Forest, components
 
 from .fixtures import LOWER, WORD, corpus, least_of, table
 
@@ -170,6 +170,25 @@ def test_components_of_chains_and_stars(spark):
     assert got == {x: c for x, c in want.items() if x != c}
 
 
+def test_forest_keeps_links_over_many_calls():
+    forest = Forest(8)
+    for targets in ([5, 7], [3, 5], [2, 7]):
+        forest.join(np.zeros(2, np.int64), np.array(targets))
+    assert forest.label.tolist() == [0, 1, 2, 2, 4, 2, 6, 2]
+    rng = np.random.default_rng(2)
+    n = 600
+    place = rng.permutation(n)  # chains of 30 targets under shuffled names, met in small batches
+    pairs = rng.permutation([(place[i], place[i + 1]) for i in range(n - 1) if (i + 1) % 30])
+    forest = Forest(n)
+    for at in range(0, len(pairs), 7):
+        some = np.sort(pairs[at : at + 7], axis=1)
+        first = forest.join(np.repeat(np.arange(len(some)), 2), some.ravel())
+        assert first.tolist() == list(range(0, 2 * len(some), 2))
+    want = least_of(set(range(n)), [tuple(map(int, p)) for p in pairs])
+    node, root = forest.edges()
+    assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {x: c for x, c in want.items() if x != c}
+
+
 def test_sampled_grams_agree_on_equal_windows():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 400).astype(np.uint8)
