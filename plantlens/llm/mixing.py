@@ -11,7 +11,8 @@
    blocks of the permutation, so draws are disjoint.
 4. Each shard shuffles its documents locally.
 
-All sums by source or block are combined map-side; no window ever holds more than ``MAX_BLOCKS`` rows of a source.
+All sums by source or block are combined map-side; no window ever holds more rows of a source than its blocks
+times its passes (``MAX_BLOCKS`` and two).
 """
 
 from __future__ import annotations
@@ -190,28 +191,41 @@ def with_shards(mix: DataFrame, words_per_shard: int = WORDS_PER_SHARD, seed: in
     return drawn.join(of_block, ["s", "turn", "block"]).withColumn("place", F.xxhash64(F.lit(seed + 4), "k1", "k2", "turn")).drop("s")
 
 
-def write_mix(docs: DataFrame, path: str, words_per_shard: int = WORDS_PER_SHARD, seed: int = 7, **options) -> None:
-    """Write the mixed documents as Parquet, one folder per shard, locally shuffled."""
-    drawn = with_shards(mixed(docs, seed=seed, **options), words_per_shard, seed).select("k1", "k2", "turn", "shard", "place")
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    _with_texts(docs, drawn, id_col, text_col, ["shard", "place"]).repartition("shard").sortWithinPartitions("shard", "place").drop(
-        "place").write.partitionBy("shard").parquet(path)
-
+def drawn_words(docs: DataFrame, words_per_shard: int = WORDS_PER_SHARD, seed: int = 7, **options) -> DataFrame:
+    """Rows of ``mixed`` with ``taken``: the words of the row times its draws in the shards (0: in no shard)."""
+    mix = stored(mixed(docs, seed=seed, **options), "mix").withColumn("s", _key(F.col("source")))
+    draws = with_shards(mix, words_per_shard, seed).groupBy("k1", "k2", _key(F.col("source")).alias("s")).agg(F.count(F.lit(1)).alias("draws"))
+    return mix.join(draws, ["k1", "k2", "s"], "left").withColumn("taken", F.col("size") * F.coalesce("draws", F.lit(0).cast("long"))).drop("s", "draws")
 
-def _with_texts(docs: DataFrame, drawn: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
-    names = docs.columns
-    id_, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(id_, F.lit(-1)).alias("k1"), F.xxhash64(id_.isNull(), text).alias("k2"))
-    return rows.join(drawn, ["k1", "k2"]).select("row.*", *extra)
 
+def _in_shards(docs: DataFrame, id_col: str, text_col: str, source_col: str, words_per_shard: int, seed: int, options: dict) -> DataFrame:
+    """``row, shard, place``: every drawn row once per draw, shard after shard and shuffled by place in each.
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixed table itself: the columns of ``docs``, each drawn row as often as it is drawn."""
+    The order runs over the partitions of the result, so a shard may be many tasks.
+    """
+    mix = stored(mixed(docs, id_col, text_col, source_col, seed=seed, **options), "mix")
+    drawn = stored(with_shards(mix, words_per_shard, seed).select("k1", "k2", _key(F.col("source")).alias("s"), "shard", "place"), "mix-places")
     names = docs.columns
-    times = mixed(docs, id_col, text_col, source_col, **options).where("times > 0").select("k1", "k2", _key(F.col("source")).alias("s"), "times")
     id_, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(id_, F.lit(-1)).alias("k1"), F.xxhash64(id_.isNull(), text).alias("k2"),
         _key(F.col(f"`{source_col}`").cast("string")).alias("s"),
     )
-    return rows.join(times, ["k1", "k2", "s"]).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
+    placed = rows.join(drawn, ["k1", "k2", "s"]).select("row", "shard", "place")
+    return placed.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
+
+
+def write_mix(
+    docs: DataFrame, path: str, words_per_shard: int = WORDS_PER_SHARD, seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
+    source_col: str = "source", **options,
+) -> None:
+    """Write the mixed documents as Parquet, one folder per shard, locally shuffled."""
+    _in_shards(docs, id_col, text_col, source_col, words_per_shard, seed, options).select("row.*", "shard").write.partitionBy("shard").parquet(path)
+
+
+def mix_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", words_per_shard: int = WORDS_PER_SHARD,
+    seed: int = 7, **options,
+) -> DataFrame:
+    """The mixed table itself, shard after shard and shuffled in each: the columns of ``docs``, each drawn row as often as it is drawn."""
+    return _in_shards(docs, id_col, text_col, source_col, words_per_shard, seed, options).select("row.*")

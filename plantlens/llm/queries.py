@@ -54,9 +54,9 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.mixed(table(spark, sf_dir, "documents"))
+    mix = mixing.drawn_words(table(spark, sf_dir, "documents"))
     each = mix.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    return each.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,27 @@ def test_mix_written_by_shard(spark, tmp_path):
     assert [r["times"] for r in mixing.mixed(table(spark, [(None, None, None)])).collect()] is not None
 
 
+def test_mix_is_dealt_by_the_tree(spark, tmp_path, monkeypatch):
+    rows = [r for r in corpus(n=200) if r[0] is not None]
+    docs = table(spark, rows).repartition(4)
+    draws = mixing.with_shards(mixing.mixed(docs, docs_per_block=4), words_per_shard=3000).collect()
+    assert len({r["shard"] for r in draws}) > 3
+    want = [r["doc_id"] for r in sorted(draws, key=lambda r: (r["shard"], r["place"])) for _ in range(r["copies"])]
+    got = [r["doc_id"] for r in mixing.mix_documents(docs, docs_per_block=4, words_per_shard=3000).collect()]
+    assert got == want
+    # rows that differ in their source alone are drawn each for itself
+    twins = table(spark, [*rows, (*rows[9][:2], "other")])
+    mixing.write_mix(twins, str(tmp_path / "mix"), words_per_shard=3000)
+    assert spark.read.parquet(str(tmp_path / "mix")).count() == sum(r["times"] * r["copies"] for r in mixing.mixed(twins).collect())
+    # what op7 calls taken are the draws of the shards
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    taken = lambda: {(r["doc_id"], r["taken"]) for r in queries.op7_mixing(spark, str(tmp_path)).collect()}
+    assert taken() == {(r["doc_id"], r["size"] * r["times"]) for r in mixing.mixed(docs).collect()}
+    deal = mixing.with_shards
+    monkeypatch.setattr(mixing, "with_shards", lambda *a, **b: deal(*a, **b).where("turn = 1"))
+    assert taken() == {(r["doc_id"], r["size"] * min(r["times"], 1)) for r in mixing.mixed(docs).collect()}
+
+
 def test_url_parts_and_rules(spark):
     urls = ["http://A.Example.com/en/x?q#f", "https://www.example.com/en/", "ftp://x.net/es/a", "x.net/es/a", None, "", "a://b://c/d", "http://evilexample.com/en/",
             "http://net/fr/?/es/", "http://h?x/y", "http://h#/en/", "://h/p\nq?z", "HTTP://WWW.ÄÖ.ORG/É"]
