@@ -7,7 +7,7 @@ softmax over hashed features: the word before, the pair of words before, and the
 
 Counts cover all training texts.  Weights are trained by gradient updates: the training texts are cut into ``STEPS`` parts
 by hash; in each step every task adds up observed and expected feature counts of its texts of that part, the
-sums are combined in a tree, and the weights move along the difference, scaled by the counts.  Model
+sums are combined slice by slice, and the weights move along the difference, scaled by the counts.  Model
 and sums have a fixed size.
 
 Scoring is sparse numpy in batches.  Counts of the ``FREQUENT`` most frequent words travel with the model; other words
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from plantlens.llm.common import Words, keyed, lower_ascii, mix, mix_int, signed, stored, text_groups
 
-CLASSES = 16
-REST, END_CLASS, TAIL = 13, 14, 15
-CLUSTERS = 13
+CLASSES = 32
+REST, END_CLASS, TAIL = 29, 30, 31
+CLUSTERS = 29
 FREQUENT = 1 << 18
 CLUSTERED = 1 << 16
 NEIGHBOURS = 15
@@ -37,6 +37,7 @@ KINDS = 3
 STEPS = 4
 RATE = 0.6
 PRIOR = 8.0
+SLICES = 32
 END = np.uint64(mix_int(77))
 BEGIN = np.uint64(mix_int(78))
 _SALTS = [np.uint64(mix_int(90 + i)) for i in range(KINDS)]
@@ -163,13 +164,11 @@ def _profile_task(shared):
     return run
 
 
-def _tree_sum(parts: DataFrame) -> np.ndarray | None:
-    """Sum of fixed-size float arrays, one per task, added up in a tree of tasks."""
-    arrays = parts.rdd.map(lambda r: np.frombuffer(bytes(r["sums"]), np.float32))
-    n = arrays.getNumPartitions()
-    if n == 0:
-        return None
-    return arrays.treeReduce(lambda a, b: a + b, depth=max(2, n.bit_length() // 3))
+def _summed(parts: DataFrame) -> np.ndarray | None:
+    """Sum of fixed-size float arrays, one per task, added up in slices by tasks; the driver gets one array."""
+    cut = parts.rdd.flatMap(lambda r: enumerate(np.array_split(np.frombuffer(bytes(r["sums"]), np.float32), SLICES)))
+    sums = sorted(cut.reduceByKey(lambda a, b: a + b, SLICES).collect(), key=lambda x: x[0])
+    return np.concatenate([x for _, x in sums]) if sums else None
 
 
 def _clusters(profile: np.ndarray, seed: int = 13) -> np.ndarray:
@@ -214,7 +213,7 @@ def vocabulary_of(counts: DataFrame, texts: DataFrame) -> Vocabulary:
     rank = np.minimum(rank[order], CLUSTERED)
     if len(order):
         shared = spark.sparkContext.broadcast((vocabulary, rank))
-        profile = _tree_sum(texts.select("text").mapInArrow(_profile_task(shared), "sums binary"))
+        profile = _summed(texts.select("text").mapInArrow(_profile_task(shared), "sums binary"))
         clustered = np.flatnonzero(rank < CLUSTERED)
         if profile is not None and len(clustered):
             label = _clusters(profile.reshape(CLUSTERED, -1)[: len(clustered)])
@@ -276,7 +275,7 @@ def fit(texts: DataFrame, counts: DataFrame, steps: int = STEPS) -> Model:
     for step in range(steps):
         part = texts.where(F.pmod(F.xxhash64(F.lit(17), "k1", "k2"), F.lit(steps)) == step).select("text")
         shared = spark.sparkContext.broadcast((vocabulary, weights, bias))
-        sums = _tree_sum(part.mapInArrow(_gradient_task(shared), "sums binary"))
+        sums = _summed(part.mapInArrow(_gradient_task(shared), "sums binary"))
         if sums is None:
             continue
         seen, expected = sums.reshape(2, *weights.shape)

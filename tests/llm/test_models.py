@@ -58,6 +58,21 @@ def test_language_model_is_a_distribution_and_beats_the_base(spark):
     assert (inside <= 1 + 1e-9).all()
 
 
+def test_language_model_has_all_its_classes(spark):
+    texts = maxent.keyed(spark.read.parquet(f"{SF}/documents.parquet"))
+    vocabulary = maxent.vocabulary_of(maxent.token_counts(texts), texts)
+    learned = np.setdiff1d(vocabulary.classes, [maxent.REST, maxent.END_CLASS, maxent.TAIL])
+    assert (maxent.CLASSES, maxent.CLUSTERS) == (32, 29)
+    assert 24 < len(learned) <= 29
+
+
+def test_sums_of_many_tasks(spark):
+    arrays = [np.arange(100, dtype=np.float32) * k for k in range(9)]
+    parts = spark.createDataFrame([(bytearray(a.tobytes()),) for a in arrays], "sums binary").repartition(9)
+    assert (maxent._summed(parts) == np.arange(100) * 36).all()
+    assert maxent._summed(parts.where("false")) is None
+
+
 def test_language_model_without_training_text(spark):
     got = maxent.score_texts(table(spark, [(1, "a b", "s"), (2, None, "s")]), F.lit(False)).orderBy("doc_id").collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
