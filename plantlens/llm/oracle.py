@@ -100,3 +100,50 @@ m AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m.least, vec_id)) AS kept
 FROM v LEFT JOIN n ON v.vec_id = n.a LEFT JOIN m ON v.vec_id = m.a
 """
+
+
+def op11(dim: int, scale: int, k: int, rounds: int, seed: int) -> str:
+    """Every round as two steps: assign, then move the centroids."""
+    parts = [f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda x: CAST(floor({scale} * x) AS BIGINT)) AS x FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+  WHERE len(e) = {dim} AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS c, x FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM v ORDER BY h NULLS LAST, x LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, x, m.c, m.d FROM (SELECT vec_id, v.x, arg_min({{'c': c, 'd': d}}, (d, c)) AS m FROM
+  (SELECT v.vec_id, v.x, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r} c) v GROUP BY v.vec_id, v.x))""")
+        if r < rounds:
+            parts.append(f"""
+s{r} AS (SELECT c, i, sum(t) AS s, count(*) AS n FROM (SELECT c, unnest(range(1, {dim + 1})) AS i, unnest(x) AS t FROM a{r}) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m.x, c{r}.x) AS x FROM c{r} LEFT JOIN
+  (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{r} GROUP BY c) m ON m.c = c{r}.c)""")
+    return ",".join(parts) + f"""
+SELECT vec_id, a{rounds}.c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a{rounds}.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.c = c{rounds}.c
+"""
+
+
+# crc32 of a list of bytes, from its table of 256 remainders
+_CRC = "xor(list_reduce({}, lambda c, b: xor(c >> 8, tab[1 + CAST(xor(c & 255, b) AS INTEGER)]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+OP12 = f"""
+WITH RECURSIVE t AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS tab
+  FROM (SELECT unnest(range(256)) AS i)),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY 1, 2),
+b AS (SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+  lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(195 AS BIGINT), unicode(x) - 64] END)) AS bytes FROM r),
+h AS (SELECT run, n, {_CRC.format("bytes")} AS h FROM b, t),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM
+  (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+g AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b FROM g a JOIN g b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, w.word FROM g JOIN w ON g.less = w.word UNION SELECT w.word, g.word FROM g JOIN w ON g.less = w.word),
+f AS MATERIALIZED (SELECT a, count(*) AS n_near, max(n) AS best, min(b) FILTER (WHERE n = top) AS form FROM
+  (SELECT a, b, n, max(n) OVER (PARTITION BY a) AS top FROM p JOIN w ON w.word = b) GROUP BY a),
+e AS MATERIALIZED (SELECT word, n, n_near, CASE WHEN best >= 2 * n THEN form END AS form, CASE WHEN best >= 2 * n THEN best END AS form_n FROM w LEFT JOIN f ON f.a = word),
+way(word, here, steps) AS (SELECT word, form, 1 FROM e WHERE form IS NOT NULL UNION ALL SELECT way.word, e.form, steps + 1 FROM way JOIN e ON e.word = way.here WHERE e.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, steps) AS root FROM way GROUP BY word)
+SELECT e.word, form, coalesce(root, e.word) AS root, n, coalesce(n_near, 0) AS n_near, form_n FROM e LEFT JOIN ends ON ends.word = e.word
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import embeddings, exact_dedup, jaccard, maxent, mixing, oracle, quality, sentencepiece_fst, substring, suffix_index, url_filter
+from plantlens.llm import centroids, embeddings, exact_dedup, jaccard, maxent, mixing, oracle, quality, sentencepiece_fst, spelling, substring, suffix_index, url_filter, weak_rules
 from plantlens.llm.common import table
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -74,6 +74,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = weak_rules.judged(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -85,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_centroids": op11_centroids,
+    "op12_spelling": op12_spelling,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
@@ -94,4 +110,6 @@ ORACLE: dict[str, str] = {
     "op8_jaccard_join": oracle.OP8,
     "op9_url_filter": oracle.op9(URL_RULES),
     "op10_embedding_dedup": oracle.OP10,
+    "op11_centroids": oracle.op11(centroids.DIM, centroids.SCALE, centroids.CLUSTERS, centroids.ROUNDS, centroids.SEED),
+    "op12_spelling": oracle.OP12,
 }
