@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions.text import case_text, grams, pairs_of
-from plantlens.operators.matching import Weighting, best_matches
-from plantlens.session import join_small
+from plantlens.operators.matching import best_matches, term_vectors
+from plantlens.session import join_small, materialize
 
 MAX_FEATURES = 5000
+DIGIT_BITS = 12
 MIN_HISTORY = 3
 
 
@@ -21,12 +21,12 @@ def with_terms(cases: DataFrame, text: str) -> DataFrame:
     return cases.withColumn("_w", grams(text)).withColumn("terms", F.concat("_w", pairs_of("_w"))).drop("_w")
 
 
-def vocabulary(cases: DataFrame, text: str, max_features: int = MAX_FEATURES) -> DataFrame:
+def vocabulary(cases: DataFrame, text: str, max_features: int | None = MAX_FEATURES) -> DataFrame:
     """Most frequent terms with corpus count, document count and idf: ``term, tf, df, idf``.
 
     Both counts come from one explode: every occurrence counts for ``tf``, every distinct term
     of a document for ``df``.  They are summed map-side, so frequent terms meet no hot reducer.
-    Ties in frequency go to the smaller term.
+    Ties in frequency go to the smaller term; ``max_features=None`` keeps every term.
     """
     worded = with_terms(cases.select(text), text)
     marks = F.concat(
@@ -38,27 +38,51 @@ def vocabulary(cases: DataFrame, text: str, max_features: int = MAX_FEATURES) ->
         .groupBy(F.col("_m.t").alias("term"))
         .agg(F.sum("_m.n").alias("tf"), F.sum("_m.d").alias("df"))
     )
-    top = totals.orderBy(F.desc("tf"), "term").limit(max_features)
+    if max_features is not None:
+        totals = most_frequent(totals, max_features)
     n = cases.agg(F.count(F.lit(1))).first()[0]
-    return top.withColumn("idf", F.log((F.lit(1.0 + n)) / (1 + F.col("df"))) + 1.0)
+    return totals.withColumn("idf", F.log((F.lit(1.0 + n)) / (1 + F.col("df"))) + 1.0)
+
+
+def most_frequent(totals: DataFrame, wanted: int) -> DataFrame:
+    """The ``wanted`` terms of largest ``tf`` (ties: the smaller term), without sorting the table.
+
+    The tf of the last term is found digit by digit, from histograms of at most ``1 << DIGIT_BITS`` counts; only the terms with
+    exactly that tf are put in order.
+    """
+    totals = materialize(totals)
+    least, rest, among = 0, wanted, totals  # terms beyond ``least`` in its leading digits are in; ``rest`` are still wanted
+    largest = totals.agg(F.max("tf")).first()[0] or 0
+    for shift in range(largest.bit_length() // DIGIT_BITS * DIGIT_BITS, -1, -DIGIT_BITS):
+        digit = F.shiftright("tf", shift).bitwiseAND((1 << DIGIT_BITS) - 1)
+        counts = {r["digit"]: r["count"] for r in among.groupBy(digit.alias("digit")).count().collect()}
+        for d in sorted(counts, reverse=True):
+            if counts[d] >= rest:
+                break
+            rest -= counts[d]
+        else:
+            return totals  # fewer terms than wanted
+        least += d << shift
+        among = among.where(digit == d)
+    tied = among.orderBy("term").limit(rest)
+    return totals.where(F.col("tf") > least).unionByName(tied)
 
 
 @dataclass
 class TextEngine:
-    """Fitted text engine; ``suggest`` serves a whole batch of new cases."""
+    """Fitted text engine; ``suggest`` serves a whole batch of new cases.  The vocabulary stays a table."""
 
     history: DataFrame | None
-    weighting: Weighting | None
+    idf: DataFrame | None
     size: int
 
     @classmethod
-    def fit(cls, cases: DataFrame, text: str = "text", min_history: int = MIN_HISTORY) -> "TextEngine":
+    def fit(cls, cases: DataFrame, text: str = "text", min_history: int = MIN_HISTORY, max_features: int | None = MAX_FEATURES) -> "TextEngine":
         """``cases``: ``id, text, defect_type, validated_branch, validated_root_cause, created_at``."""
         size = cases.agg(F.count(F.lit(1))).first()[0]
         if size < min_history:
             return cls(None, None, size)
-        idf = {r["term"]: r["idf"] for r in vocabulary(cases, text).select("term", "idf").collect()}
-        return cls(cases, Weighting(idf), size)
+        return cls(cases, materialize(vocabulary(cases, text, max_features).select("term", "idf")), size)
 
     @property
     def is_trained(self) -> bool:
@@ -74,12 +98,10 @@ class TextEngine:
         )
         label = F.to_json(F.struct(F.col("validated_branch").alias("b"), F.col("validated_root_cause").alias("c")))
         left = with_terms(validated, text).select(F.col("id").cast("long").alias("source_case_id"), "terms", label.alias("_cause"))
-        right = with_terms(queries, text).select(F.col("id").cast("long").alias("query_id"), "terms")
-
-        def score(cosines, batch, block):
-            return np.where(np.round(cosines, 9) > 0, cosines, -np.inf)
-
-        found = best_matches(right, left, top_k, score, "query_id", "source_case_id", "_cause", self.weighting)
+        right = with_terms(queries, text).select(F.col("id").cast("long").alias("query_id"), "terms", F.lit(0).alias("_none"))
+        past = materialize(term_vectors(left, "source_case_id", ["_cause"], self.idf))
+        asked = materialize(term_vectors(right, "query_id", ["_none"], self.idf))
+        found = best_matches(asked, past, top_k, "query_id", "source_case_id", "_cause")
         about = self.history.select(F.col("id").cast("long").alias("source_case_id"), "defect_type", "created_at")
         found = found.select(
             "query_id", "rank", F.from_json("_cause", "b string, c string").alias("_c"),

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -163,8 +164,9 @@ def test_small_text_helpers(spark):
     assert [r.c for r in rows] == pytest.approx([2 / 2.4, 0.0]) and [r.n for r in rows] == pytest.approx([1 / 3, 0.5])
 
 
-def test_similarity_equals_pairwise_formula(spark, monkeypatch):
-    monkeypatch.setattr(matching, "BLOCK_CELLS", 200)  # several query blocks
+@pytest.mark.parametrize(("least", "tenant"), [(0.2, False), (0.0, False), (0.45, True)])
+def test_similarity_equals_pairwise_formula(spark, monkeypatch, least, tenant):
+    monkeypatch.setattr(matching, "SALT_ROWS", 10)  # frequent terms are dealt to several tasks
     rng = np.random.default_rng(0)
     words = ["moteur", "fuite", "vis", "lot", "buse", "colle", "bruit"]
     severities = ["faible", "haute", "critique", None]
@@ -176,8 +178,10 @@ def test_similarity_equals_pairwise_formula(spark, monkeypatch):
         ]
 
     ddl = "id bigint, machine string, description string, type_incident string, severite string"
-    q_rows, h_rows = make(23, 0), make(150, 10)
-    got = similarity.find_similar(spark.createDataFrame(q_rows, ddl), spark.createDataFrame(h_rows, ddl).repartition(6), 4, 0.2, exclude_self=True)
+    q_rows, h_rows = make(23, 0), make(150, 30)
+    company = lambda rows: spark.createDataFrame(rows, ddl).withColumn("entreprise_id", F.col("id") % 3)
+    h_rows += q_rows[:8]
+    got = similarity.find_similar(company(q_rows), company(h_rows).repartition(6), 4, least, exclude_self=True, same_tenant=tenant)
     level = {"faible": 1, "haute": 3, "critique": 4}
     fold = lambda s: s.lower().replace("é", "e")
 
@@ -191,11 +195,52 @@ def test_similarity_equals_pairwise_formula(spark, monkeypatch):
 
     want = set()
     for a in q_rows:
-        ranked = sorted(((-score(a, b), b[0]) for b in h_rows if b[0] != a[0] and score(a, b) >= 0.2))[:4]
+        ranked = sorted(((-score(a, b), b[0]) for b in h_rows if b[0] != a[0] and score(a, b) >= least and (not tenant or a[0] % 3 == b[0] % 3)))[:4]
         want |= {(a[0], i + 1, b, -s) for i, (s, b) in enumerate(ranked)}
     assert {(r.case_id, r["rank"], r.id, r.similarity) for r in got.collect()} == want
 
 
+def test_index_scores_few_rows(spark):
+    """Long postings of frequent words are not scored for queries that rare words decide."""
+    rng = np.random.default_rng(4)
+    common = [f"mot{i}" for i in range(6)]
+    rare = lambda i: f"rare{i // 5} piece{i // 5} zone{i // 5} poste{i // 5}"
+    rows = [(i, f"M{i // 5}", f"{rng.choice(common)} {rng.choice(common)} {rare(i)}", "panne", "haute") for i in range(600)]
+    ddl = "id bigint, machine string, description string, type_incident string, severite string"
+    past = spark.createDataFrame(rows, ddl).repartition(4)
+    asked = spark.createDataFrame([(1000 + i, f"M{i}", f"mot1 {rare(5 * i)}", "panne", "haute") for i in range(40)], ddl)
+    work = similarity.find_similar(asked, past, 3, work=True).collect()
+    assert len(work) == 40 and max(r.candidates for r in work) < 30
+    found = similarity.find_similar(asked, past, 3).collect()
+    assert len(found) == 120 and all(r.id // 5 == r.case_id - 1000 for r in found)
+
+
+def test_no_history_and_no_text(spark):
+    ddl = "id bigint, machine string, description string, type_incident string, severite string"
+    asked = spark.createDataFrame([(1, "M1", None, None, None), (2, None, "", "", "x")], ddl)
+    assert similarity.find_similar(asked, asked.limit(0), 3).count() == 0
+    past = spark.createDataFrame([(5, "M1", None, None, None), (6, "M2", "bruit", "", "haute"), (7, "m1", "", None, None)], ddl)
+    got = {(r.case_id, r["rank"], r.id, r.similarity) for r in similarity.find_similar(asked, past, 2).collect()}
+    assert got == {(1, 1, 5, 0.225), (1, 2, 7, 0.225), (2, 1, 5, 0.1), (2, 2, 6, 0.1)}
+
+
+@pytest.mark.parametrize("wanted", [1, 7, 40, 5000, None])
+def test_vocabulary_keeps_the_most_frequent_terms(spark, monkeypatch, wanted):
+    monkeypatch.setattr(retrieval, "DIGIT_BITS", 2)
+    rng = np.random.default_rng(7)
+    words = [f"w{i:02d}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 40), p=np.arange(1, 61) / 1830))) for i in range(80)]
+    tf, df = Counter(), Counter()
+    for _, text in rows:
+        w = text.split()
+        terms = w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        tf.update(terms)
+        df.update(set(terms))
+    want = sorted(tf, key=lambda t: (-tf[t], t))[:wanted]
+    got = retrieval.vocabulary(spark.createDataFrame(rows, "id bigint, text string").repartition(5), "text", wanted).collect()
+    assert {(r.term, r.tf, r.df) for r in got} == {(t, tf[t], df[t]) for t in want} and len(got) == len(want)
+
+
 def test_text_engine(spark):
     rows = [
         (0, "collage", "temperature colle basse", "Machine", "Temperature colle basse"), (1, "collage", "temperature colle trop basse ce matin", "Machine", "Temperature colle basse"),
@@ -208,6 +253,8 @@ def test_text_engine(spark):
     assert [(r.query_id, r.cause) for r in got] == [(1, "Temperature colle basse"), (2, "Encre humide")]
     assert got[0].branch == "Machine" and 0 < got[0].confidence <= 1 and got[0].explanation.endswith("2026-01-02")
     assert not retrieval.TextEngine.fit(df.limit(2)).is_trained
+    whole = retrieval.TextEngine.fit(df, max_features=None).suggest(asked).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.cause, r.confidence) for r in whole] == [(r.query_id, r.cause, r.confidence) for r in got]
 
 
 def test_rca_round_trip_and_text(spark):
