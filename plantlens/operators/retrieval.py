@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions.text import case_text, grams, pairs_of
-from plantlens.operators.matching import best_matches, term_vectors
+from plantlens.operators.matching import best_matches
 from plantlens.session import join_small, materialize
 
 MAX_FEATURES = 5000
@@ -97,11 +97,9 @@ class TextEngine:
             (F.coalesce("validated_root_cause", F.lit("")) != "") & (F.coalesce("validated_branch", F.lit("")) != "")
         )
         label = F.to_json(F.struct(F.col("validated_branch").alias("b"), F.col("validated_root_cause").alias("c")))
-        left = with_terms(validated, text).select(F.col("id").cast("long").alias("source_case_id"), "terms", label.alias("_cause"))
-        right = with_terms(queries, text).select(F.col("id").cast("long").alias("query_id"), "terms", F.lit(0).alias("_none"))
-        past = materialize(term_vectors(left, "source_case_id", ["_cause"], self.idf))
-        asked = materialize(term_vectors(right, "query_id", ["_none"], self.idf))
-        found = best_matches(asked, past, top_k, "query_id", "source_case_id", "_cause")
+        left = with_terms(validated.repartition("id"), text).select(F.col("id").cast("long").alias("source_case_id"), "terms", label.alias("_cause"))
+        right = with_terms(queries.repartition("id"), text).select(F.col("id").cast("long").alias("query_id"), "terms")
+        found = best_matches(right, left, top_k, "query_id", "source_case_id", "_cause", self.idf)
         about = self.history.select(F.col("id").cast("long").alias("source_case_id"), "defect_type", "created_at")
         found = found.select(
             "query_id", "rank", F.from_json("_cause", "b string, c string").alias("_c"),
