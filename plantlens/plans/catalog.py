@@ -1375,6 +1375,30 @@ def file_round_trip(spark, d):
     return typed.select("numero", "temperature", "poste", F.date_format("jour", "yyyy-MM-dd").alias("jour"), "libelle")
 
 
+# records with line breaks, doubled and stray quotes, under a two-row header whose first cell holds a line break
+_QUOTED_HEADER = '"Lot\nprincipal";Texte;Mesure;\nnumero;libelle;taille;note'
+
+
+@query(
+    "SELECT CAST(doc_id AS DOUBLE) AS numero, 't ' || translate(coalesce(text, ''), chr(13) || chr(9) || ',|', '    ') || '.' AS libelle, CAST(coalesce(n_chars, 0) AS DOUBLE) AS taille, "
+    "CASE doc_id % 3 WHEN 0 THEN '5\" x' WHEN 1 THEN '7\" y' ELSE 'z\"z\"' END AS note FROM documents"
+)
+def file_quoted_records(spark, d):
+    """Whole texts as quoted cells beside stray quotes, written as files with a two-row header and read again.
+
+    Other candidate separators are blanked, as the separator is sniffed from physical lines.
+    """
+    folder = work_folder(spark, "records")
+    text = F.replace(F.concat(F.lit("t "), F.translate(F.coalesce("text", F.lit("")), "\r\t,|", "    "), F.lit(".")), F.lit('"'), F.lit('""'))
+    note = F.when(F.col("doc_id") % 3 == 0, '5" x').when(F.col("doc_id") % 3 == 1, '7" y').otherwise('z"z"')
+    record = F.concat(F.col("doc_id").cast("string"), F.lit(';"'), text, F.lit('";'), F.coalesce("n_chars", F.lit(0)).cast("string"), F.lit(";"), note)
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of each file
+    read_table(spark, f"{d}/documents.parquet").select(F.concat(F.when(first, _QUOTED_HEADER + "\n").otherwise(""), record).alias("value")).write.text(folder)
+    (loaded,) = files.load_files(spark, spark.read.text(folder).inputFiles())
+    names = ("Lot\nprincipal_numero", "Texte_libelle", "Mesure_taille", "Mesure_note")
+    return loaded.rows.select(*[F.col(f"`{n}`").alias(n.split("_")[1]) for n in names])
+
+
 def _run_stream(spark, stream: DataFrame, purpose: str) -> tuple[DataFrame, str]:
     """Drain a stream into a table; that table and the stream's checkpoint."""
     folder = work_folder(spark, purpose)
