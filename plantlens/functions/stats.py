@@ -60,7 +60,7 @@ def regularized_beta(a: float, b: float, x: float) -> float:
 
 def correlation_tail(r: float, n: float) -> float:
     """Two-sided p-value of a correlation r over n pairs (Student t with n - 2 degrees)."""
-    if r is None or n is None or math.isnan(r) or n < 3:
+    if r is None or n is None or math.isnan(r) or math.isnan(n) or n < 3:
         return math.nan
     r2 = min(1.0, r * r)
     if r2 >= 1.0:

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from plantlens.functions.spc_values import CUSUM_DECISION, CUSUM_SLACK, EWMA_LAMBDA, EWMA_WIDTH
 
 ALERT_SCHEMA = "series string, parameter string, ts timestamp, value double, rule string, statistic double"
+# rule of samples that cannot be judged, as their series and parameter have no baseline
+NO_BASELINE = "sans_reference"
 STATE_SCHEMA = "ewma double, c_plus double, c_minus double, last timestamp"
 
 
 def with_limits(samples: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Join each sample to its frozen mean and sigma (static side: series, parameter, mean, std)."""
-    return samples.join(baseline, ["series", "parameter"])
+    """Join each sample to its frozen mean and sigma (static side: series, parameter, mean, std); null where there are none."""
+    return samples.join(baseline, ["series", "parameter"], "left")
 
 
 def _upward(start: float, steps: np.ndarray) -> np.ndarray:
@@ -30,10 +32,12 @@ def _upward(start: float, steps: np.ndarray) -> np.ndarray:
 def _advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Move the EWMA and CUSUM of one (series, parameter) over the samples of a micro-batch."""
     rows = pd.concat(list(batches)).sort_values("ts", kind="stable").reset_index(drop=True)
+    unknown = (rows["mean"].isna() | rows["std"].isna()).to_numpy()
+    stray, rows = rows[unknown], rows[~unknown].reset_index(drop=True)
     ewma, c_plus, c_minus, last = state.get if state.exists else (None, 0.0, 0.0, None)
     # a sample older than what the state has seen is checked against its limits only
     late = rows["ts"] < last if last is not None else pd.Series(False, index=rows.index)
-    tests = [(rows, "limites", (rows["value"] - rows["mean"]).abs() > 3 * rows["std"], rows["value"])]
+    tests = [(stray, NO_BASELINE, np.ones(len(stray), bool), stray["value"]), (rows, "limites", (rows["value"] - rows["mean"]).abs() > 3 * rows["std"], rows["value"])]
     timely = rows[~late].reset_index(drop=True)
     if len(timely):
         value, mean, std = (timely[c].to_numpy(float) for c in ("value", "mean", "std"))
@@ -62,7 +66,7 @@ def monitor(samples: DataFrame, baseline: DataFrame, watermark: str = "10 minute
     The state per (series, parameter) is three numbers and the last time, however long the stream runs.  Samples that
     arrive after a later one of their series are checked against the limits and move no running statistic.  The samples
     of one micro-batch are brought into time order per series, so the source's rate options
-    (``maxFilesPerTrigger`` and the like) bound what a task holds.
+    (``maxFilesPerTrigger`` and the like) bound what a task holds.  A sample without a baseline is reported as such, with its value.
     """
     timed = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     live = with_limits(timed, baseline)
