@@ -368,7 +368,7 @@ def _deal_task(shared, chunk: int):
 def near_words(words: DataFrame, per_cell: int = CHUNK, chunk: int = CHUNK, sample: int = SAMPLE) -> DataFrame:
     """``word, n_near, best, near_word`` of the words (``word, n``, each word once) that have near words.
 
-    ``near_word`` is the near word of largest n (``best``), the smallest in code-point order of several.  At most ``sample`` words,
+    ``near_word`` is the near word of largest n (``best``), the smallest in code-point order of several.  About ``sample`` words,
     chosen by hash, shape the cells on the driver; all words are dealt to them.
     """
     spark = words.sparkSession
@@ -376,7 +376,9 @@ def near_words(words: DataFrame, per_cell: int = CHUNK, chunk: int = CHUNK, samp
     totals = {r["length"]: r["count"] for r in words.groupBy(F.char_length("word").alias("length")).count().where(F.col("length") <= SAMPLE_LENGTH).collect()}
     shape = []
     if any(n > per_cell for n in totals.values()):
-        rows = words.where(F.char_length("word") <= SAMPLE_LENGTH).orderBy("h", "word").limit(sample).select("word").collect()
+        # a share of all hashes, so that tasks pick their own rows and the driver gets about ``sample`` of them
+        share = min(1.0, sample / sum(totals.values()))
+        rows = words.where((F.char_length("word") <= SAMPLE_LENGTH) & (F.col("h").cast("double") <= (2 * share - 1) * 2.0**63)).select("word").collect()
         shape = [r["word"].encode("latin-1") for r in rows]
     cells = Cells(shape, totals, per_cell)
     shared = spark.sparkContext.broadcast(cells)
