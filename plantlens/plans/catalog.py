@@ -36,7 +36,7 @@ from plantlens.functions.vocab import (
 from plantlens.operators import autofill, cases, clean, drift, losses, nodes, ordered, quality, retrieval, shifts, similarity, spc, supervised
 from plantlens.plans import analysis, standins
 from plantlens.plans.standins import frame, quoted
-from plantlens.session import read_table, work_folder
+from plantlens.session import join_small, read_table, work_folder
 from plantlens.sources import files, store
 from plantlens.streaming import monitor
 
@@ -220,7 +220,7 @@ def control_points(spark, d):
 )
 def alert_timeline(spark, d):
     stats = clean.column_stats(sensors(spark, d), ["value"], ["event_type"]).drop("parameter")
-    hits = sensors(spark, d).join(F.broadcast(stats), "event_type").where(F.col("value") > F.col("mean") + 3 * F.col("std"))
+    hits = join_small(sensors(spark, d), stats, ["event_type"]).where(F.col("value") > F.col("mean") + 3 * F.col("std"))
     severity = F.when(F.col("value") > F.col("mean") + 4 * F.col("std"), "danger").otherwise("warn")
     rows = hits.select("ts", F.col("event_type").alias("parameter"), severity.alias("severity"))
     return spc.alert_timeline(rows, "ts")

@@ -1,4 +1,5 @@
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -27,6 +28,12 @@ def test_chi2_tail_known_values():
         assert stats.chi2_tail(critical, dof) == pytest.approx(0.05, abs=1e-9)
 
 
+def test_normal_quantiles_are_exact_enough():
+    p = np.concatenate([10.0 ** -np.arange(1, 13), np.linspace(0.001, 0.999, 997), [0.02425, 0.97575, 0.5], 1 - 10.0 ** -np.arange(1, 9)])
+    exact = np.array([NormalDist().inv_cdf(x) for x in p])
+    assert np.abs(stats.normal_quantiles(p) - exact).max() < 1e-8
+
+
 def test_shapiro_published_example():
     # Shapiro and Wilk's 1965 weights of eleven men
     w, p = stats.shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
