@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -212,6 +212,20 @@ def save_trees(nodes: DataFrame, trees: DataFrame, replace_existing: bool = True
     return kept.unionByName(store.chain_parents(fresh))
 
 
+def store_trees(spark: SparkSession, path: str, trees: DataFrame, replace_existing: bool = True) -> None:
+    """Write new trees (with ``projet_id``) to a stored node table (``store.write_grouped`` by ``projet_id``).
+
+    Nodes get ids after the largest stored one and links to their parents; old nodes of the projects are removed, and no
+    folder without such a project is read in full or written.
+    """
+    nodes = store.read_grouped(spark, path)
+    fresh = store.chain_parents(store.append(nodes, trees, "chemins_pourquoi", ["projet_id", "branche_m", "niveau"]))
+    if not replace_existing:
+        projects = trees.select("projet_id").distinct()
+        fresh = fresh.unionByName(nodes.join(projects, "projet_id", "left_semi"))
+    store.replace_groups(spark, path, fresh, "projet_id", trees.select("projet_id").distinct())
+
+
 def enrich_validated(projects: DataFrame, nodes: DataFrame, feedback: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Learn from validated projects.
 

@@ -1010,10 +1010,13 @@ def tree_confidence(spark, d):
     "SELECT * FROM u UNION ALL SELECT id, projet_id, branche_m, CAST(niveau AS BIGINT), NULL FROM n WHERE projet_id NOT IN (SELECT projet_id FROM t)"
 )
 def trees_saved(spark, d):
-    """Node table after writing the trees: replaced projects, dense ids, parent links."""
+    """Stored node table after writing the trees into it, read back: replaced projects, dense ids, parent links."""
     past = store.conform(frame(spark, d, standins.CHAINS), "chemins_pourquoi", F.lit("2026-01-01").cast("timestamp"))
     trees = _trees(spark, d).withColumn("projet_id", F.col("case_id") + 50)
-    return rounded(cases.save_trees(past, trees).select("id", "projet_id", "branche_m", "niveau", "parent_id"))
+    folder = work_folder(spark, "nodes")
+    store.write_grouped(past, folder, "projet_id")
+    cases.store_trees(spark, folder, trees)
+    return rounded(store.read_grouped(spark, folder).select("id", "projet_id", "branche_m", "niveau", "parent_id"))
 
 
 @query(

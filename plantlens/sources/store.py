@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from plantlens.functions.vocab import FAMILIES, STATUS_LABELS
 from plantlens.operators.ordered import previous_in_series, with_positions
-from plantlens.session import named
+from plantlens.session import materialize, named, null_safe_join
 
 
 @dataclass(frozen=True)
@@ -292,6 +292,50 @@ def delete_nodes(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return nodes.join(targets.select(*on).distinct(), on, "left_anti")
 
 
+# Folders a grouped table is dealt to by a hash of its key; the same for all writes of a table.
+BUCKETS = 64
+_BUCKET = "bucket_"
+
+
+def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    return rows.withColumn(_BUCKET, F.pmod(F.xxhash64(named(key)), F.lit(buckets)).cast("int"))
+
+
+def write_grouped(rows: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+    """Write a table whose rows are later replaced by ``key``: Parquet in ``buckets`` folders, whatever the number of keys."""
+    dealt = _bucketed(rows, key, buckets)
+    dealt.repartition(_BUCKET).write.partitionBy(_BUCKET).option("compression", "zstd").parquet(path)
+
+
+def read_grouped(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(_BUCKET)
+
+
+def replace_groups(spark: SparkSession, path: str, fresh: DataFrame, key: str, groups: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    """Rows of ``fresh`` take the place of all stored rows with their keys, and of those with keys in ``groups`` (``key``).
+
+    Only the folders that hold such keys are read and written again; the others are not touched.  What is kept of them is
+    stored apart before they are overwritten, in one job that is committed at its end.
+    """
+    fresh = materialize(_bucketed(fresh, key, buckets))
+    gone = fresh.select(key)
+    if groups is not None:
+        gone = gone.unionByName(groups.select(key))
+    gone = materialize(_bucketed(gone.distinct(), key, buckets))
+    touched = [r[_BUCKET] for r in gone.select(_BUCKET).distinct().collect()]  # at most ``buckets``
+    stored = spark.read.parquet(path)
+    kept = materialize(null_safe_join(stored.where(F.col(_BUCKET).isin(touched)), gone.select(key), [key], "left_anti"))
+    whole = kept.unionByName(fresh.select(*stored.columns))
+    # a folder that loses all its rows still has to be overwritten, which needs a row in it; it is emptied by name instead
+    left = {r[_BUCKET] for r in whole.select(_BUCKET).distinct().collect()}
+    whole.repartition(_BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(_BUCKET).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for bucket in sorted(set(touched) - left):
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{_BUCKET}={bucket}"), True)
+    spark.catalog.refreshByPath(path)
+
+
 def list_rows(rows: DataFrame, table: str, **equals) -> DataFrame:
     """Rows of a table with equality filters (pushed to the scan), in its customary order."""
     for column, value in equals.items():

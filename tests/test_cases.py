@@ -164,6 +164,28 @@ def test_small_text_helpers(spark):
     assert [r.c for r in rows] == pytest.approx([2 / 2.4, 0.0]) and [r.n for r in rows] == pytest.approx([1 / 3, 0.5])
 
 
+def test_stored_trees_replace_projects_in_their_folders(spark, tmp_path):
+    ddl = "id bigint, projet_id bigint, branche_m string, niveau int, question string, reponse string"
+    rows = [(i, i % 9 if i % 9 else None, "Milieu", 1, "q", f"r{i}") for i in range(1, 91)]
+    old = store.conform(spark.createDataFrame(rows, ddl), "chemins_pourquoi")
+    path = str(tmp_path / "nodes")
+    store.write_grouped(old, path, "projet_id", 4)
+    assert store.read_grouped(spark, path).count() == 90
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "nodes").rglob("*.parquet")}
+    fresh = store.conform(spark.createDataFrame([(900, 3, "Milieu", 1, "q", "new")], ddl), "chemins_pourquoi")
+    store.replace_groups(spark, path, fresh, "projet_id", spark.createDataFrame([(5,), (77,)], "projet_id bigint"), 4)
+    got = {(r.id, r.projet_id, r.reponse) for r in store.read_grouped(spark, path).collect()}
+    want = {(i, p, t) for i, p, _, _, _, t in rows if p not in (3, 5)} | {(900, 3, "new")}
+    assert got == want
+    touched = {r[0] for r in store._bucketed(spark.createDataFrame([(3,), (5,), (77,)], "p bigint"), "p", 4).select("bucket_").collect()}
+    for p, stamp in before.items():
+        if int(p.parent.name.split("=")[1]) not in touched:
+            assert p.stat().st_mtime_ns == stamp
+    everything = store.read_grouped(spark, path).select("projet_id").distinct()
+    store.replace_groups(spark, path, fresh.limit(0), "projet_id", everything, 4)  # folders may lose all rows
+    assert spark.read.schema(fresh.schema).parquet(path).count() == 0
+
+
 @pytest.mark.parametrize(("least", "tenant"), [(0.2, False), (0.0, False), (0.45, True)])
 def test_similarity_equals_pairwise_formula(spark, monkeypatch, least, tenant):
     monkeypatch.setattr(matching, "SALT_ROWS", 10)  # frequent terms are dealt to several tasks
