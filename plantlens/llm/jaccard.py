@@ -35,6 +35,11 @@ BAND_RATIO = 1.5
 # Sets of a chunk of targets, and tokens of the probes that meet it at a time.
 CHUNK = 256
 PROBE_TOKENS = 1 << 13
+# Probes that meet one copy of a chunk: a large cluster's chunks are copied, so that no task takes all its sets.
+SLICE = 2048
+# Sets that a task remembers as sent, and parts of the rows of a key that a batch knows to be shared.
+SEEN = 1 << 17
+SALTS = 64
 _DOC_BITS = np.uint64(10)
 
 
@@ -171,18 +176,75 @@ def _sets_task(ngram: int):
 
 
 def _keys_task(ngram: int, hundredths: int):
+    """Keys of the sets, each set once for ``SEEN`` sets of a task, with a ``tag``.
+
+    A key that several sets of a batch share is known to be shared: its rows pass on with a tag above 0 that spreads them,
+    and two of them stand in for it (tag -1) among the keys met once (tag 0).  So a hot key is combined before the shuffle.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            keys, owners = [], []
             for _, data, offsets in text_groups(batch, most_rows=1024):
                 tokens, bounds = token_sets(data, offsets, ngram)
                 ids, size = set_ids(tokens, bounds)
-                keys, owner = signatures(tokens, bounds, hundredths)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(keys)), pa.array(signed(ids)[owner]), pa.array(size[owner].astype(np.int32))], names=["key", "sid", "n"])
+                new = []
+                for i, sid in enumerate(ids.tolist()):
+                    if size[i] and sid not in seen:
+                        seen.add(sid)
+                        new.append(i)
+                if not new:
+                    continue
+                if len(new) < len(ids):
+                    tokens = np.concatenate([tokens[bounds[i] : bounds[i + 1]] for i in new])
+                    ids, bounds = ids[new], np.concatenate([[0], np.cumsum(size[new])])
+                found, owner = signatures(tokens, bounds, hundredths)
+                keys.append(found)
+                owners.append(ids[owner])
+                if len(seen) > SEEN:
+                    seen.clear()
+            if keys:
+                yield _tagged(np.concatenate(keys), np.concatenate(owners))
 
     return run
 
 
+def _tagged(key: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((sid, key))
+    key, sid = key[order], sid[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
+    key, sid = key[new], sid[new]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    held = np.diff(np.append(cut, len(key)))
+    several = cut[held > 1]
+    tag = np.where(np.repeat(held > 1, held), 1 + (mix(sid) % np.uint64(SALTS)).astype(np.int32), 0)
+    stand_in = np.concatenate([several, several + 1])
+    key, sid = np.append(key, key[stand_in]), np.append(sid, sid[stand_in])
+    tag = np.append(tag, np.full(len(stand_in), -1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(sid)), pa.array(tag)], names=["key", "sid", "tag"])
+
+
+def _shared_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of keys that two sets share or that are tagged so, from rows sorted by key and set; one row is held in between.
+
+    Of a key's first set a row may come out once more with every batch.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, sid, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sid", "tag"))
+        if held is not None:
+            key, sid, tag = np.append(held[0], key), np.append(held[1], sid), np.append(0, tag)
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        end = np.append(start[1:], len(key))
+        passes = np.repeat(sid[start] != sid[end - 1], end - start) | (tag > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(key[passes]), pa.array(sid[passes])], names=["key", "sid"])
+        held = key[start[-1]], sid[start[-1]]
+
+
 def _contents_task(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,18 +288,17 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = keyed(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
     rows = stored(texts.mapInArrow(_sets_task(ngram), "k1 long, k2 long, doc_id long, sid long, n long"), "jaccard-rows")
-    sent = texts.select("text").mapInArrow(_keys_task(ngram, hundredths), "key long, sid long, n int")
-    shared = sent.groupBy("key").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x != y").select("key")
-    groups = stored(sent.join(shared, "key", "left_semi").distinct(), "jaccard-groups")
+    sent = texts.select("text").mapInArrow(_keys_task(ngram, hundredths), "key long, sid long, tag int")
+    met_once = sent.repartition("key", F.greatest("tag", F.lit(0))).sortWithinPartitions("key", "sid")
+    groups = stored(met_once.mapInArrow(_shared_task, "key long, sid long").distinct(), "jaccard-groups")
     # a set that shares keys with many others is likely the text the others were copied from: it is compared first
     met = groups.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("met"))
-    met = groups.join(met, "key").groupBy("sid").agg(F.sum("met").alias("met"), F.first("n").alias("n"))
-    members = stored(met, "jaccard-members")
-    groups = stored(groups.select("key", "sid").join(members, "sid"), "jaccard-groups")
+    met = groups.join(met, "key").groupBy("sid").agg(F.sum("met").alias("met"))
+    of_rows = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("at"), F.first("n").alias("n"))
+    members = stored(met.join(of_rows, "sid").select("sid", "met", "n", "at.k1", "at.k2"), "jaccard-members")
+    groups = stored(groups.join(members.select("sid", "met", "n"), "sid"), "jaccard-groups")
 
-    chosen = rows.join(members.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("at"))
-    chosen = chosen.select("sid", "at.k1", "at.k2")
-    contents = packed_texts(docs, id_col, text_col).join(chosen, ["k1", "k2"]).select("sid", "packed")
+    contents = packed_texts(docs, id_col, text_col).join(members.select("sid", "k1", "k2"), ["k1", "k2"]).select("sid", "packed")
     contents = stored(contents.mapInArrow(_contents_task(ngram), "sid long, tokens binary").dropDuplicates(["sid"]), "jaccard-contents")
 
     opened = groups.withColumn("component", F.col("sid"))
@@ -259,18 +320,21 @@ def _linked_in_clusters(rest: DataFrame, contents: DataFrame, hundredths: int) -
     """Links ``a, b`` that connect what is linked among sets whose keys touch, chunk by chunk, without listing pairs.
 
     Sets that share keys, directly or through others, are a cluster.  Its sets are cut into chunks of ``CHUNK`` targets; every
-    set meets its own chunk and those before it.  A chunk counts common tokens by an index of its tokens and
+    set meets its own chunk and those before it, in one of the chunk's copies.  A chunk counts common tokens by an index of its tokens and
     returns a spanning forest of the links it finds.
     """
     touch = components(rest.select(F.col("sid").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
     members = rest.groupBy("sid").agg(F.first("n").alias("n")).join(touch, "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid"))
     members = stored(members, "jaccard-clusters")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
+    count = F.count(F.lit(1))
+    sizes = members.groupBy("cluster").agg(F.ceil(count / CHUNK).cast("long").alias("chunks"), F.ceil(count / SLICE).cast("long").alias("slices"))
     placed = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "sid"), F.col("chunks")))
-    placed = placed.join(contents, "sid").select("cluster", "own", "sid", "tokens")
-    target = placed.select("cluster", F.col("own").alias("chunk"), F.lit(0).alias("role"), "sid", "tokens")
-    probe = placed.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("chunk"), F.lit(1).alias("role"), "sid", "tokens")
-    dealt = target.unionByName(probe).repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "role", "sid")
+    placed = placed.join(contents, "sid").withColumn("part", F.pmod(F.xxhash64(F.lit(2), "sid"), F.col("slices")))
+    zero = F.lit(0).cast("long")
+    copies, met = F.explode(F.sequence(zero, F.col("slices") - 1)), F.explode(F.sequence(zero, F.col("own")))
+    target = placed.select("cluster", F.col("own").alias("chunk"), copies.alias("slice"), F.lit(0).alias("role"), "sid", "tokens")
+    probe = placed.select("cluster", met.alias("chunk"), F.col("part").alias("slice"), F.lit(1).alias("role"), "sid", "tokens")
+    dealt = target.unionByName(probe).repartition("cluster", "chunk", "slice").sortWithinPartitions("cluster", "chunk", "slice", "role", "sid")
     return stored(dealt.mapInArrow(_clusters_task(hundredths), "a long, b long"), "jaccard-links")
 
 
@@ -295,6 +359,8 @@ class _Targets:
 
     def meet(self, sid: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Probes with a linked target, and one such target each."""
+        if not len(self.sid):  # no set was dealt to this chunk
+            return sid[:0], sid[:0]
         if self.forest is None:
             self._index()
         size = np.array([len(s) for s in sets])
@@ -326,23 +392,23 @@ def _clusters_task(hundredths: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, targets = None, _Targets(hundredths)
-        for batch in batches:  # sorted by cluster, chunk and role
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "chunk", "role", "sid")), strict=True))
+        for batch in batches:  # sorted by cluster, chunk, slice and role
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "chunk", "slice", "role", "sid")), strict=True))
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]
             at = 0
             while at < len(rows):
-                if rows[at][:2] != key:
+                if rows[at][:3] != key:
                     yield packed(targets.close())
-                    key, targets = rows[at][:2], _Targets(hundredths)
+                    key, targets = rows[at][:3], _Targets(hundredths)
                 to, held = at, 0
-                while to < len(rows) and rows[to][:3] == rows[at][:3] and (to == at or held < PROBE_TOKENS):
+                while to < len(rows) and rows[to][:4] == rows[at][:4] and (to == at or held < PROBE_TOKENS):
                     held += len(sets[to])
                     to += 1
-                if rows[at][2] == 0:
+                if rows[at][3] == 0:
                     for i in range(at, to):
-                        targets.add(rows[i][3], sets[i].copy())
+                        targets.add(rows[i][4], sets[i].copy())
                 else:
-                    yield packed(targets.meet(np.array([r[3] for r in rows[at:to]], np.int64), sets[at:to]))
+                    yield packed(targets.meet(np.array([r[4] for r in rows[at:to]], np.int64), sets[at:to]))
                 at = to
         yield packed(targets.close())
 

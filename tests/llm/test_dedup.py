@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plantlens.llm import exact_dedup, jaccard, substring, suffix_index
@@ -134,6 +135,42 @@ def test_jaccard_matches_brute_force(spark, k, hundredths):
     assert kept.count() == sum(not s for s in sets) + len({least[a] for a in ids if sets[a]})
 
 
+def test_clusters_in_small_chunks_and_slices(spark, monkeypatch):
+    """Chunks of a cluster, their copies and the batches of a key change nothing."""
+    for name, value in (("CHUNK", 3), ("SLICE", 4), ("PROBE_TOKENS", 20), ("SEEN", 2), ("SALTS", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    test_jaccard_matches_brute_force(spark, 2, 50)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_shared_keys_whatever_the_batches(size):
+    """Keys of two sets or more pass, however the rows are cut; rows of one set alone do not, unless tagged."""
+    rng = np.random.default_rng(size)
+    keys, sids = rng.integers(-40, 40, 300), rng.integers(-4, 4, 300)
+    keys, sids = np.concatenate([keys, np.full(30, 99), np.full(30, 100)]), np.concatenate([sids, np.full(30, 7), np.repeat([5, 6], 15)])
+    sets = {}
+    for k, s in zip(keys.tolist(), sids.tolist(), strict=True):
+        sets.setdefault(k, set()).add(s)
+    want = {(k, s) for k, of in sets.items() if len(of) > 1 for s in of}
+    order = np.lexsort((sids, keys))
+    rows = pa.RecordBatch.from_arrays([pa.array(keys[order]), pa.array(sids[order]), pa.array(np.zeros(len(keys), np.int32))], names=["key", "sid", "tag"])
+
+    def passed(rows):
+        batches = [rows.slice(at, size) for at in range(0, rows.num_rows, size)]
+        return {(r["key"], r["sid"]) for b in jaccard._shared_task([rows.slice(0, 0), *batches]) for r in b.to_pylist()}
+
+    assert passed(rows) == want
+
+    # two batches, each combined before: tagged rows lie elsewhere, their stand-ins among the others
+    halves = [jaccard._tagged(x.astype(np.int64).view(np.uint64), y.astype(np.int64).view(np.uint64)) for x, y in
+              ((keys[::2], sids[::2]), (keys[1::2], sids[1::2]))]
+    both = pa.Table.from_batches(halves).to_pandas()
+    got = set()
+    for _, part in both.groupby(both["tag"].clip(lower=0)):
+        got |= passed(pa.RecordBatch.from_pandas(part.sort_values(["key", "sid"]), preserve_index=False))
+    assert got == want
+
+
 def test_signatures_meet_for_all_linked_sizes():
     """Any two sets that reach the bound share a key, whatever their sizes, also with too few spare segments."""
     rng = np.random.default_rng(5)
