@@ -298,8 +298,8 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = stored(met.join(of_rows, "sid").select("sid", "met", "n", "at.k1", "at.k2"), "jaccard-members")
     groups = stored(groups.join(members.select("sid", "met", "n"), "sid"), "jaccard-groups")
 
-    contents = packed_texts(docs, id_col, text_col).join(members.select("sid", "k1", "k2"), ["k1", "k2"]).select("sid", "packed")
-    contents = stored(contents.mapInArrow(_contents_task(ngram), "sid long, tokens binary").dropDuplicates(["sid"]), "jaccard-contents")
+    contents = packed_texts(docs, id_col, text_col).join(members.select("sid", "k1", "k2"), ["k1", "k2"]).dropDuplicates(["k1", "k2", "sid"])
+    contents = stored(contents.select("sid", "packed").mapInArrow(_contents_task(ngram), "sid long, tokens binary"), "jaccard-contents")
 
     opened = groups.withColumn("component", F.col("sid"))
     first = opened.groupBy("key").agg(F.max(F.struct("met", "sid", "n")).alias("r")).select("key", F.col("r.sid").alias("b"), F.col("r.n").alias("nb"))
@@ -319,21 +319,27 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _linked_in_clusters(rest: DataFrame, contents: DataFrame, hundredths: int) -> DataFrame:
     """Links ``a, b`` that connect what is linked among sets whose keys touch, chunk by chunk, without listing pairs.
 
-    Sets that share keys, directly or through others, are a cluster.  Its sets are cut into chunks of ``CHUNK`` targets; every
-    set meets its own chunk and those before it, in one of the chunk's copies.  A chunk counts common tokens by an index of its tokens and
-    returns a spanning forest of the links it finds.
+    Sets that share keys, directly or through others, are a cluster.  The sets of its largest component are connected already
+    and meet only the others.  Sets are cut into chunks of ``CHUNK`` targets, that component's first; every other set meets its
+    own chunk and those before it, in one of the chunk's copies.  A chunk counts common tokens by an index of its tokens
+    and returns a spanning forest of the links it finds.
     """
     touch = components(rest.select(F.col("sid").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
-    members = rest.groupBy("sid").agg(F.first("n").alias("n")).join(touch, "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid"))
-    members = stored(members, "jaccard-clusters")
-    count = F.count(F.lit(1))
-    sizes = members.groupBy("cluster").agg(F.ceil(count / CHUNK).cast("long").alias("chunks"), F.ceil(count / SLICE).cast("long").alias("slices"))
-    placed = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "sid"), F.col("chunks")))
+    members = rest.groupBy("sid").agg(F.first("component").alias("component")).join(touch, "sid", "left")
+    members = stored(members.withColumn("cluster", F.coalesce("cluster", "sid")), "jaccard-clusters")
+    held = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("held"))
+    sizes = held.groupBy("cluster").agg(F.max(F.struct("held", "component")).alias("lead"), F.sum("held").alias("total"))
+    others = F.col("total") - F.col("lead.held")
+    sizes = sizes.select("cluster", F.col("lead.component").alias("lead"), *[F.ceil(x).cast("long").alias(c) for c, x in (
+        ("led", F.col("lead.held") / CHUNK), ("chunks", others / CHUNK), ("slices", others / SLICE))])
+    spread = F.xxhash64(F.lit(1), "sid")
+    placed = members.join(sizes, "cluster").withColumn("leads", F.col("component") == F.col("lead"))
+    placed = placed.withColumn("own", F.when(F.col("leads"), F.pmod(spread, F.col("led"))).otherwise(F.col("led") + F.pmod(spread, F.col("chunks"))))
     placed = placed.join(contents, "sid").withColumn("part", F.pmod(F.xxhash64(F.lit(2), "sid"), F.col("slices")))
     zero = F.lit(0).cast("long")
     copies, met = F.explode(F.sequence(zero, F.col("slices") - 1)), F.explode(F.sequence(zero, F.col("own")))
     target = placed.select("cluster", F.col("own").alias("chunk"), copies.alias("slice"), F.lit(0).alias("role"), "sid", "tokens")
-    probe = placed.select("cluster", met.alias("chunk"), F.col("part").alias("slice"), F.lit(1).alias("role"), "sid", "tokens")
+    probe = placed.where("not leads").select("cluster", met.alias("chunk"), F.col("part").alias("slice"), F.lit(1).alias("role"), "sid", "tokens")
     dealt = target.unionByName(probe).repartition("cluster", "chunk", "slice").sortWithinPartitions("cluster", "chunk", "slice", "role", "sid")
     return stored(dealt.mapInArrow(_clusters_task(hundredths), "a long, b long"), "jaccard-links")
 
