@@ -79,6 +79,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``stored`` wrote, once what was made of it is written too (nothing may read it again)."""
+    context = table.sparkSession.sparkContext
+    for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 # Keys (two longs each) that may be broadcast; more are joined by shuffle.
 MAX_BROADCAST_KEYS = 500_000
 

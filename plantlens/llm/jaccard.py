@@ -10,7 +10,8 @@ with more empty segments than spare ones also indexes the one-deletion neighbour
 count for two differences each; if even that does not reach the bound, it indexes its single tokens.
 
 Candidates are compared exactly.  In the group of a key, every set is first compared with the one that shares keys
-with most others.  Sets whose groups are still apart after that form clusters, which are compared in chunks.
+with most others, which then leaves the group, and so on for a few rounds; a group of two or three sets is decided by that.
+Sets whose groups are still apart after that form clusters, which are compared in chunks.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import RollingHash, Words, keyed, lower_ascii, mix, mix_int, signed, stored, text_groups, without
+from plantlens.llm.common import RollingHash, Words, discard, keyed, lower_ascii, mix, mix_int, signed, stored, text_groups, without
 from plantlens.llm.components import Forest, components
 from plantlens.llm.substring import packed_texts, unpacked
 
@@ -32,6 +33,8 @@ NGRAM = 4
 # Linked: HUNDREDTHS / 100 of the union or more are common.
 HUNDREDTHS = 85
 BAND_RATIO = 1.5
+# Rounds in which the sets of a group meet its first one.
+FIRST_ROUNDS = 3
 # Sets of a chunk of targets, and tokens of the probes that meet it at a time.
 CHUNK = 256
 PROBE_TOKENS = 1 << 13
@@ -277,8 +280,8 @@ def _verified(pairs: DataFrame, contents: DataFrame, hundredths: int) -> DataFra
     return stored(two.mapInArrow(_verify_task(hundredths), "a long, b long"), "jaccard-links")
 
 
-def _alike(hundredths: int):
-    return 100 * F.least("na", "nb") >= hundredths * F.greatest("na", "nb")
+def _alike(hundredths: int, na: str, nb: str) -> Column:
+    return 100 * F.least(na, nb) >= hundredths * F.greatest(na, nb)
 
 
 def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, hundredths: int = HUNDREDTHS) -> tuple[DataFrame, DataFrame]:
@@ -296,22 +299,31 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = groups.join(met, "key").groupBy("sid").agg(F.sum("met").alias("met"))
     of_rows = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("at"), F.first("n").alias("n"))
     members = stored(met.join(of_rows, "sid").select("sid", "met", "n", "at.k1", "at.k2"), "jaccard-members")
-    groups = stored(groups.join(members.select("sid", "met", "n"), "sid"), "jaccard-groups")
+    named = stored(groups.join(members.select("sid", "met", "n"), "sid"), "jaccard-groups")
+    discard(groups)
+    groups = named
 
     contents = packed_texts(docs, id_col, text_col).join(members.select("sid", "k1", "k2"), ["k1", "k2"]).dropDuplicates(["k1", "k2", "sid"])
     contents = stored(contents.select("sid", "packed").mapInArrow(_contents_task(ngram), "sid long, tokens binary"), "jaccard-contents")
 
-    opened = groups.withColumn("component", F.col("sid"))
-    first = opened.groupBy("key").agg(F.max(F.struct("met", "sid", "n")).alias("r")).select("key", F.col("r.sid").alias("b"), F.col("r.n").alias("nb"))
-    pairs = opened.join(first, "key").where(F.col("sid") != F.col("b")).select(F.col("sid").alias("a"), "b", F.col("n").alias("na"), "nb")
-    pairs = stored(pairs.where(_alike(hundredths)).select("a", "b").distinct(), "jaccard-pairs")
-    links = _verified(pairs, contents, hundredths)
-
-    # groups whose sets are still apart
-    roots = components(links).select(F.col("node").alias("sid"), "component")
-    of = groups.join(roots, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    keys = of.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("sid").alias("least")).where("x != y").select("key", "least")
-    rest = stored(of.join(keys, "key").select("sid", "least", "n", "component").distinct(), "jaccard-rest")
+    # every set of a group meets the group's first one, which then leaves: it has been compared with all of them
+    links, rest = None, groups
+    for _ in range(FIRST_ROUNDS):
+        first = rest.groupBy("key").agg(F.max(F.struct("met", "sid", "n")).alias("r"), F.count(F.lit(1)).alias("held"))
+        first = first.select("key", F.col("r.sid").alias("b"), F.col("r.n").alias("nb"), "held")
+        others = rest.join(first, "key").where(F.col("sid") != F.col("b"))
+        pairs = others.where(_alike(hundredths, "n", "nb")).select(F.col("sid").alias("a"), "b").distinct()
+        found = _verified(stored(pairs, "jaccard-pairs"), contents, hundredths)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links).select(F.col("node").alias("sid"), "component")
+        of = others.where("held > 2").select("key", "sid", "met", "n").join(roots, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        apart = of.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+        left = stored(of.join(apart, "key", "left_semi"), "jaccard-groups")
+        discard(rest)
+        rest = left.drop("component")
+    least = left.groupBy("key").agg(F.min("sid").alias("least"))
+    rest = stored(left.join(least, "key").select("sid", "least", "n", "component").distinct(), "jaccard-rest")
+    discard(left)
     links = links.unionByName(_linked_in_clusters(rest, contents, hundredths))
     return rows, components(links).select(F.col("node").alias("sid"), F.col("component").alias("root"))
 
