@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +21,9 @@ from plantlens.operators.ordered import MIN_BLOCK_ROWS, to_points, with_halo
 
 # The longest look-back: 15 samples in a row plus the one before them.
 LOOK_BACK = 15
+# Cells that a correlation task holds at a time, and the share of a sum of squares below which a variance is rounding.
+CELLS = 1 << 20
+NO_SPREAD = 1e-12
 
 RULES = [f"nelson_{i}" for i in range(1, 9)]
 
@@ -257,17 +262,55 @@ def pareto(scores: DataFrame, name: str = "parameter", score: str = "score", top
     )
 
 
+def _moments(shift: np.ndarray):
+    """Sums of every column pair over the rows in which both have a value, as masked matrix products of a task's batches."""
+    p = len(shift)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sx, sxx, sxy, odd = np.zeros((5, p, p))
+        for batch in batches:
+            step = max(1, CELLS // max(p, 1))
+            for at in range(0, batch.num_rows, step):
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.slice(at, step).columns]).astype(float)
+                there, endless = (~np.isnan(x)).astype(float), np.isinf(x).astype(float)
+                d = np.where(np.isfinite(x), x, shift) - shift
+                n += there.T @ there
+                sx += d.T @ there
+                sxx += (d * d).T @ there
+                sxy += d.T @ d
+                odd += endless.T @ there
+        i, j = np.triu_indices(p)
+        columns = [i, j, n[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j], odd[i, j] + odd[j, i]]
+        names = ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy", "odd"]
+        for at in range(0, len(i), CELLS >> 4):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (CELLS >> 4)]) for c in columns], names=names)
+
+    return run
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
-    """Pairwise-complete Pearson correlations of all column pairs, from one aggregate row."""
+    """Pairwise-complete Pearson correlations of all column pairs.
+
+    Tasks return one row of sums (around the column means) per pair, which are added up by pair; only the means reach the driver.
+    A column whose spread vanishes against its distance from the mean gives NULL, an infinite value NaN.
+    """
     columns = list(columns or numeric_columns(df))
-    cells = []
-    for i, a in enumerate(columns):
-        for b in columns[i:]:
-            x, y = to_number(df, a), to_number(df, b)
-            both = x.isNotNull() & y.isNotNull()
-            spread = F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y))
-            r = F.round(F.try_divide(F.covar_samp(x, y), spread), digits)
-            cells.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("r")))
-    half = df.agg(F.array(*cells).alias("_m")).select(F.explode("_m").alias("_c")).select("_c.*")
-    mirrored = half.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
-    return half.unionByName(mirrored)
+    numbers = df.select(*[to_number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    finite = [F.avg(F.when(F.abs(f"c{i}") < float("inf"), F.col(f"c{i}"))) for i in range(len(columns))]
+    shift = np.array([m or 0.0 for m in numbers.agg(*finite).first()])
+    # a row without values changes no sum, and gives an empty table its pairs
+    blank = df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in numbers.columns])
+    kinds = "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double, odd double"
+    sums = numbers.unionByName(blank).mapInArrow(_moments(shift), kinds).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy", "odd")]
+    )
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    spread = (vx > NO_SPREAD * F.col("sxx")) & (vy > NO_SPREAD * F.col("syy"))
+    r = F.when(spread, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx) / F.sqrt(vy))
+    r = F.round(F.when(F.col("odd") > 0, float("nan")).otherwise(r), digits)
+    names = F.array(*[F.lit(c) for c in columns])
+    half = sums.select(names[F.col("i").cast("int")].alias("x"), names[F.col("j").cast("int")].alias("y"), r.alias("r"), (F.col("i") < F.col("j")).alias("_off"))
+    turned = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    sides = F.explode(F.when(F.col("_off"), turned).otherwise(F.array(F.struct("x", "y"))))
+    return half.select(sides.alias("_p"), "r").select("_p.x", "_p.y", "r")

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from plantlens.operators import drift, spc
@@ -97,3 +98,24 @@ def test_labels(spark):
     df = spark.createDataFrame([("trend", 0), ("autre", 2), ("none", 5)], "dominant_pattern string, violations int")
     got = df.select(spc.pattern_label().alias("l"), spc.alert_badge().alias("b")).collect()
     assert [tuple(r) for r in got] == [("Tendance (derive)", "ok"), ("autre", "warn"), ("Aucun", "danger")]
+
+
+def test_correlation_matrix_of_many_columns_is_pairwise_complete(spark):
+    rng = np.random.default_rng(3)
+    wide = pd.DataFrame(rng.normal(size=(400, 40)).cumsum(axis=1) + 1e6, columns=[f"p {i}" for i in range(40)])
+    wide = wide.mask(rng.random(wide.shape) < 0.3)
+    wide["empty"], wide["still"] = np.nan, 0.1
+    expected = wide.corr()
+    got = spc.correlation_matrix(spark.createDataFrame(wide).repartition(5), digits=6).toPandas()
+    assert len(got) == wide.shape[1] ** 2
+    table = got.pivot(index="x", columns="y", values="r").loc[wide.columns, wide.columns].astype(float)
+    assert np.allclose(table, expected, atol=2e-6, equal_nan=True)
+
+
+def test_correlation_matrix_of_infinite_values_and_of_no_rows(spark):
+    rows = [(1.0, 2.0, 1.0), (2.0, 1.0, None), (3.0, 5.0, 2.0), (float("inf"), 4.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r.x, r.y): r.r for r in spc.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    assert np.isnan(got["a", "b"]) and got["a", "c"] == got["c", "a"] == 1.0 and got["b", "c"] == 1.0
+    none = {(r.x, r.y): r.r for r in spc.correlation_matrix(df.limit(0), ["a", "b"]).collect()}
+    assert none == {("a", "a"): None, ("a", "b"): None, ("b", "a"): None, ("b", "b"): None}
