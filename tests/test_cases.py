@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -237,6 +238,28 @@ def test_index_scores_few_rows(spark):
     assert len(found) == 120 and all(r.id // 5 == r.case_id - 1000 for r in found)
 
 
+def test_batches_of_queries_store_no_pairs(spark, monkeypatch):
+    """Many alike rows: the same result in many batches and parts, with little shuffled and nothing left of it."""
+    rng = np.random.default_rng(11)
+    words = [f"mot{i}" for i in range(30)]
+    rows = [(i, f"M{rng.integers(4)}", " ".join(rng.choice(words, 8)), "panne", "haute", i % 3) for i in range(400)]
+    ddl = "id bigint, machine string, description string, type_incident string, severite string, entreprise_id bigint"
+    df = spark.createDataFrame(rows, ddl).repartition(4)
+    whole = similarity.find_similar(df, df, 3, exclude_self=True, same_tenant=True).collect()
+    monkeypatch.setattr(matching, "BATCH_TERMS", 300)
+    monkeypatch.setattr(matching, "TASK_PAIRS", 2000)
+    before = _shuffled(spark)
+    cut = similarity.find_similar(df, df, 3, exclude_self=True, same_tenant=True).collect()
+    assert len(whole) == 1200 and sorted(cut) == sorted(whole)
+    assert _shuffled(spark) - before < 1 << 20  # 53000 pairs of a company share a word
+
+
+def _shuffled(spark) -> int:
+    """Bytes that shuffles have written in this session and that are still there."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(f.stat().st_size for folder in folders for f in Path(folder).rglob("shuffle_*") if f.is_file())
+
+
 def test_no_history_and_no_text(spark):
     ddl = "id bigint, machine string, description string, type_incident string, severite string"
     asked = spark.createDataFrame([(1, "M1", None, None, None), (2, None, "", "", "x")], ddl)
