@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plantlens.functions import text
 from plantlens.functions.vocab import TREE_BRANCHES
 from plantlens.operators import autofill, cases, matching, nodes, retrieval, similarity
+from plantlens import session
 from plantlens.sources import store
 
 
@@ -252,6 +253,15 @@ def test_batches_of_queries_store_no_pairs(spark, monkeypatch):
     cut = similarity.find_similar(df, df, 3, exclude_self=True, same_tenant=True).collect()
     assert len(whole) == 1200 and sorted(cut) == sorted(whole)
     assert _shuffled(spark) - before < 1 << 20  # 53000 pairs of a company share a word
+    twice = df.unionByName(df)  # rows that come twice count once
+    assert sorted(similarity.find_similar(twice, twice, 3, exclude_self=True, same_tenant=True).collect()) == sorted(whole)
+
+
+def test_texts_are_dealt_by_their_size(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_CHARS", 100)
+    df = spark.createDataFrame([(i, "mot " * 10, None) for i in range(50)], "id bigint, text string, note string").repartition(1)
+    assert session.dealt_by_text(df, ["text", "note"], "id").rdd.getNumPartitions() == 20
+    assert retrieval.vocabulary(df, "text").where("term = 'mot'").first().tf == 500
 
 
 def _shuffled(spark) -> int:
