@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plantlens.functions.text import case_text, grams, pairs_of
 from plantlens.operators.matching import best_matches
-from plantlens.session import join_small, materialize
+from plantlens.session import dealt_by_text, join_small, materialize, named
 
 MAX_FEATURES = 5000
 DIGIT_BITS = 12
@@ -25,10 +25,12 @@ def vocabulary(cases: DataFrame, text: str, max_features: int | None = MAX_FEATU
     """Most frequent terms with corpus count, document count and idf: ``term, tf, df, idf``.
 
     Both counts come from one explode: every occurrence counts for ``tf``, every distinct term
-    of a document for ``df``.  They are summed map-side, so frequent terms meet no hot reducer.
+    of a document for ``df``.  They are summed map-side, so frequent terms meet no hot reducer; rows are dealt by all their simple
+    columns, so that a task sums up the terms of a bounded amount of text and copies of a text do not meet.
     Ties in frequency go to the smaller term; ``max_features=None`` keeps every term.
     """
-    worded = with_terms(cases.select(text), text)
+    simple = [named(f.name) for f in cases.schema.fields if f.dataType.typeName() not in ("map", "variant", "array", "struct")]
+    worded = with_terms(dealt_by_text(cases, [text], F.xxhash64(*simple)).select(text), text)
     marks = F.concat(
         F.transform("terms", lambda t: F.struct(t.alias("t"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
         F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("t"), F.lit(0).alias("n"), F.lit(1).alias("d"))),
@@ -97,8 +99,8 @@ class TextEngine:
             (F.coalesce("validated_root_cause", F.lit("")) != "") & (F.coalesce("validated_branch", F.lit("")) != "")
         )
         label = F.to_json(F.struct(F.col("validated_branch").alias("b"), F.col("validated_root_cause").alias("c")))
-        left = with_terms(validated.repartition("id"), text).select(F.col("id").cast("long").alias("source_case_id"), "terms", label.alias("_cause"))
-        right = with_terms(queries.repartition("id"), text).select(F.col("id").cast("long").alias("query_id"), "terms")
+        left = with_terms(dealt_by_text(validated, [text], "id"), text).select(F.col("id").cast("long").alias("source_case_id"), "terms", label.alias("_cause"))
+        right = with_terms(dealt_by_text(queries, [text], "id"), text).select(F.col("id").cast("long").alias("query_id"), "terms")
         found = best_matches(right, left, top_k, "query_id", "source_case_id", "_cause", self.idf)
         about = self.history.select(F.col("id").cast("long").alias("source_case_id"), "defect_type", "created_at")
         found = found.select(
