@@ -171,6 +171,11 @@ def _summed(parts: DataFrame) -> np.ndarray | None:
     return np.concatenate([x for _, x in sums]) if sums else None
 
 
+def _gathered(texts: DataFrame) -> DataFrame:
+    """Texts in no more partitions than there are cores, without a shuffle: every task sends sums of a fixed size, however few its texts are."""
+    return texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism)
+
+
 def _clusters(profile: np.ndarray, seed: int = 13) -> np.ndarray:
     """k-means classes of words by direction of their (square-rooted) neighbour counts."""
     points = np.sqrt(profile)
@@ -213,7 +218,7 @@ def vocabulary_of(counts: DataFrame, texts: DataFrame) -> Vocabulary:
     rank = np.minimum(rank[order], CLUSTERED)
     if len(order):
         shared = spark.sparkContext.broadcast((vocabulary, rank))
-        profile = _summed(texts.select("text").mapInArrow(_profile_task(shared), "sums binary"))
+        profile = _summed(_gathered(texts.select("text")).mapInArrow(_profile_task(shared), "sums binary"))
         clustered = np.flatnonzero(rank < CLUSTERED)
         if profile is not None and len(clustered):
             label = _clusters(profile.reshape(CLUSTERED, -1)[: len(clustered)])
@@ -275,7 +280,7 @@ def fit(texts: DataFrame, counts: DataFrame, steps: int = STEPS) -> Model:
     for step in range(steps):
         part = texts.where(F.pmod(F.xxhash64(F.lit(17), "k1", "k2"), F.lit(steps)) == step).select("text")
         shared = spark.sparkContext.broadcast((vocabulary, weights, bias))
-        sums = _summed(part.mapInArrow(_gradient_task(shared), "sums binary"))
+        sums = _summed(_gathered(part).mapInArrow(_gradient_task(shared), "sums binary"))
         if sums is None:
             continue
         seen, expected = sums.reshape(2, *weights.shape)

@@ -157,3 +157,11 @@ def test_encoding_odd_tables(spark):
     assert sentencepiece_fst.encode_documents(table(spark, []), model).count() == 0
     got = sentencepiece_fst.encode_documents(table(spark, [(None, None, None), (1, "", "s"), (1, "", "s")], clashing=True), model).collect()
     assert [(r["n_tokens"], r["ids"], r["round_trip"]) for r in got] == [(0, [], True)] * 3
+
+
+def test_model_sums_come_from_no_more_tasks_than_cores(spark):
+    from plantlens.llm import maxent
+
+    texts = spark.createDataFrame([("un mot",)] * 300, "text string").repartition(100)
+    gathered = maxent._gathered(texts)
+    assert gathered.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and gathered.count() == 300
