@@ -11,7 +11,9 @@ count for two differences each; if even that does not reach the bound, it indexe
 
 Candidates are compared exactly.  In the group of a key, every set is first compared with the one that shares keys
 with most others, which then leaves the group, and so on for a few rounds; a group of two or three sets is decided by that.
-Sets whose groups are still apart after that form clusters, which are compared in chunks.
+Sets whose groups are still apart after that are held against each other by sketches, group by group: the parities of a
+set's tokens in a few cells bound from below in how many tokens two sets differ, so no linked pair is ruled out, and
+common phrases chain no unlike sets together.  What the sketches leave forms clusters, whose tokens are compared in chunks.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import RollingHash, Words, discard, keyed, lower_ascii, mix, mix_int, signed, stored, text_groups, without
+from plantlens.llm.common import RollingHash, Words, discard, few, keyed, lower_ascii, mix, mix_int, signed, stored, text_groups, without
 from plantlens.llm.components import Forest, components
 from plantlens.llm.substring import packed_texts, unpacked
 
@@ -40,6 +42,9 @@ CHUNK = 256
 PROBE_TOKENS = 1 << 13
 # Probes that meet one copy of a chunk: a large cluster's chunks are copied, so that no task takes all its sets.
 SLICE = 2048
+# Sets of a group that meet each other's sketches in one task, and pairs of sketches compared at a time.
+GROUP_CHUNK = 1 << 14
+SKETCH_PAIRS = 1 << 20
 # Sets that a task remembers as sent, and parts of the rows of a key that a batch knows to be shared.
 SEEN = 1 << 17
 SALTS = 64
@@ -248,17 +253,72 @@ def _shared_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = key[start[-1]], sid[start[-1]]
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the number of tokens in each of 64 cells or more, about as many as a set has tokens.
+
+    Two sets differ in at least as many tokens as their sketches differ in cells.
+    """
+    cells = max(64, 1 << (len(tokens).bit_length() - 1)) if len(tokens) else 64
+    odd = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (a row of words each) as they would be with fewer cells."""
+    while words.shape[1] > width:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def _words(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, all folded to the shortest."""
+    lengths = np.array([len(x) for x in sketches])
+    out = np.zeros((len(sketches), lengths.min() // 8), np.uint64)
+    for length in np.unique(lengths):
+        some = np.flatnonzero(lengths == length)
+        out[some] = _folded(np.frombuffer(b"".join(sketches[i] for i in some), np.uint64).reshape(len(some), -1), out.shape[1])
+    return out
+
+
 def _contents_task(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = []
+            values, sketches = [], []
             for _, data in unpacked(batch):
-                values.append(token_sets(data, np.array([0, len(data)]), ngram)[0].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(values, pa.binary())], names=["sid", "tokens"])
+                tokens = token_sets(data, np.array([0, len(data)]), ngram)[0]
+                values.append(tokens.tobytes())
+                sketches.append(sketch(tokens))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("sid"), pa.array(values, pa.binary()), pa.array(sketches, pa.binary())], names=["sid", "tokens", "sketch"]
+            )
 
     return run
 
 
+def _near_task(hundredths: int):
+    """Pairs that their sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.zeros(batch.num_rows, bool)
+            total = batch.column("na").to_numpy(zero_copy_only=False) + batch.column("nb").to_numpy(zero_copy_only=False)
+            for i, pair in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
+                x, y = _words(list(pair))
+                near[i] = (100 + hundredths) * int(np.bitwise_count(x ^ y).sum()) <= (100 - hundredths) * total[i]
+            keep = pa.array(near)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def _near_pairs(pairs: DataFrame, contents: DataFrame, hundredths: int) -> DataFrame:
+    """``a, b`` of the pairs ``a, b, na, nb`` that may be linked by their sketches, which are moved in place of tokens."""
+    one = pairs.join(contents.select(F.col("sid").alias("a"), F.col("sketch").alias("sa")), "a")
+    two = one.join(contents.select(F.col("sid").alias("b"), F.col("sketch").alias("sb")), "b")
+    return two.mapInArrow(_near_task(hundredths), "a long, b long")
+
+
 def _verify_task(hundredths: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +334,13 @@ def _verify_task(hundredths: int):
     return run
 
 
+def _contents_of(sids: DataFrame, contents: DataFrame) -> DataFrame:
+    """The contents of some sets: by chance most sets share a key, but the tokens of few are compared, and only those are moved."""
+    return contents.select("sid", "tokens").join(few(sids.select("sid").distinct(), "jaccard-asked"), "sid", "left_semi")
+
+
 def _verified(pairs: DataFrame, contents: DataFrame, hundredths: int) -> DataFrame:
+    contents = _contents_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")), contents)
     one = pairs.join(contents.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a")
     two = one.join(contents.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
     return stored(two.mapInArrow(_verify_task(hundredths), "a long, b long"), "jaccard-links")
@@ -304,7 +370,7 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = named
 
     contents = packed_texts(docs, id_col, text_col).join(members.select("sid", "k1", "k2"), ["k1", "k2"]).dropDuplicates(["k1", "k2", "sid"])
-    contents = stored(contents.select("sid", "packed").mapInArrow(_contents_task(ngram), "sid long, tokens binary"), "jaccard-contents")
+    contents = stored(contents.select("sid", "packed").mapInArrow(_contents_task(ngram), "sid long, tokens binary, sketch binary"), "jaccard-contents")
 
     # every set of a group meets the group's first one, which then leaves: it has been compared with all of them
     links, rest = None, groups
@@ -312,8 +378,8 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first = rest.groupBy("key").agg(F.max(F.struct("met", "sid", "n")).alias("r"), F.count(F.lit(1)).alias("held"))
         first = first.select("key", F.col("r.sid").alias("b"), F.col("r.n").alias("nb"), "held")
         others = rest.join(first, "key").where(F.col("sid") != F.col("b"))
-        pairs = others.where(_alike(hundredths, "n", "nb")).select(F.col("sid").alias("a"), "b").distinct()
-        found = _verified(stored(pairs, "jaccard-pairs"), contents, hundredths)
+        pairs = others.where(_alike(hundredths, "n", "nb")).select(F.col("sid").alias("a"), "b", F.col("n").alias("na"), "nb").distinct()
+        found = _verified(stored(_near_pairs(pairs, contents, hundredths), "jaccard-pairs"), contents, hundredths)
         links = found if links is None else links.unionByName(found)
         roots = components(links).select(F.col("node").alias("sid"), "component")
         of = others.where("held > 2").select("key", "sid", "met", "n").join(roots, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
@@ -321,24 +387,39 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left = stored(of.join(apart, "key", "left_semi"), "jaccard-groups")
         discard(rest)
         rest = left.drop("component")
-    least = left.groupBy("key").agg(F.min("sid").alias("least"))
-    rest = stored(left.join(least, "key").select("sid", "least", "n", "component").distinct(), "jaccard-rest")
+    links = links.unionByName(_linked_in_clusters(left, contents, hundredths))
     discard(left)
-    links = links.unionByName(_linked_in_clusters(rest, contents, hundredths))
     return rows, components(links).select(F.col("node").alias("sid"), F.col("component").alias("root"))
 
 
-def _linked_in_clusters(rest: DataFrame, contents: DataFrame, hundredths: int) -> DataFrame:
-    """Links ``a, b`` that connect what is linked among sets whose keys touch, chunk by chunk, without listing pairs.
+def _touching(groups: DataFrame, contents: DataFrame, hundredths: int) -> DataFrame:
+    """Pairs ``a, b`` of a key's sets from two components that sketches do not rule out: a spanning forest of them for each chunk.
+
+    Groups of the very same sets count once.  Large groups are cut into chunks of ``GROUP_CHUNK`` sets; a set meets its own chunk
+    and those before it.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "sid")).alias(f"x{i}") for i in (0, 1)]
+    same = groups.groupBy("key").agg(F.count(F.lit(1)).alias("held"), *marks)
+    once = same.groupBy("held", "x0", "x1").agg(F.min("key").alias("key")).select("key", "held")
+    rows = groups.select("key", "sid", "n", "component").join(once, "key").join(contents.select("sid", "sketch"), "sid")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(3), "sid"), F.ceil(F.col("held") / GROUP_CHUNK)))
+    met = F.explode(F.sequence(F.lit(0).cast("long"), F.col("own")))
+    dealt = rows.select("key", met.alias("chunk"), "own", "sid", "n", "component", "sketch").withColumn("role", (F.col("chunk") < F.col("own")).cast("int")).drop("own")
+    dealt = dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "role", "sid")
+    return stored(dealt.mapInArrow(_touching_task(hundredths), "a long, b long"), "jaccard-touching")
+
+
+def _linked_in_clusters(groups: DataFrame, contents: DataFrame, hundredths: int) -> DataFrame:
+    """Links ``a, b`` that connect what is linked in the groups ``key, sid, n, component``, chunk by chunk, without listing pairs.
 
-    Sets that share keys, directly or through others, are a cluster.  The sets of its largest component are connected already
+    Sets that touch by their sketches, directly or through others, are a cluster.  The sets of its largest component are connected already
     and meet only the others.  Sets are cut into chunks of ``CHUNK`` targets, that component's first; every other set meets its
     own chunk and those before it, in one of the chunk's copies.  A chunk counts common tokens by an index of its tokens
     and returns a spanning forest of the links it finds.
     """
-    touch = components(rest.select(F.col("sid").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
-    members = rest.groupBy("sid").agg(F.first("component").alias("component")).join(touch, "sid", "left")
-    members = stored(members.withColumn("cluster", F.coalesce("cluster", "sid")), "jaccard-clusters")
+    touch = components(_touching(groups, contents, hundredths)).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
+    touch = touch.unionByName(touch.select(F.col("cluster").alias("sid"), "cluster").distinct())
+    members = stored(groups.groupBy("sid").agg(F.first("component").alias("component")).join(touch, "sid"), "jaccard-clusters")
     held = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("held"))
     sizes = held.groupBy("cluster").agg(F.max(F.struct("held", "component")).alias("lead"), F.sum("held").alias("total"))
     others = F.col("total") - F.col("lead.held")
@@ -347,7 +428,7 @@ def _linked_in_clusters(rest: DataFrame, contents: DataFrame, hundredths: int) -
     spread = F.xxhash64(F.lit(1), "sid")
     placed = members.join(sizes, "cluster").withColumn("leads", F.col("component") == F.col("lead"))
     placed = placed.withColumn("own", F.when(F.col("leads"), F.pmod(spread, F.col("led"))).otherwise(F.col("led") + F.pmod(spread, F.col("chunks"))))
-    placed = placed.join(contents, "sid").withColumn("part", F.pmod(F.xxhash64(F.lit(2), "sid"), F.col("slices")))
+    placed = placed.join(_contents_of(members, contents), "sid").withColumn("part", F.pmod(F.xxhash64(F.lit(2), "sid"), F.col("slices")))
     zero = F.lit(0).cast("long")
     copies, met = F.explode(F.sequence(zero, F.col("slices") - 1)), F.explode(F.sequence(zero, F.col("own")))
     target = placed.select("cluster", F.col("own").alias("chunk"), copies.alias("slice"), F.lit(0).alias("role"), "sid", "tokens")
@@ -356,6 +437,84 @@ def _linked_in_clusters(rest: DataFrame, contents: DataFrame, hundredths: int) -
     return stored(dealt.mapInArrow(_clusters_task(hundredths), "a long, b long"), "jaccard-links")
 
 
+class _Sketches:
+    """Sets of one chunk of a group by their sketches; probes come in batches."""
+
+    def __init__(self, hundredths: int) -> None:
+        self.hundredths, self.held, self.forest = hundredths, [], None
+
+    def add(self, *columns) -> None:
+        """``sid, n, component`` as arrays and a list of sketches."""
+        self.held.append(columns)
+
+    def _close_targets(self) -> None:
+        self.sid, self.n, self.component = (np.concatenate([x[i] for x in self.held]) for i in range(3))
+        self.words = _words([y for x in self.held for y in x[3]])
+        self.forest = Forest(len(self.sid))
+
+    def meet(self, sid: np.ndarray, n: np.ndarray, component: np.ndarray, words: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Probes that touch a target (``own``: one before them), and one such target each."""
+        if self.forest is None:
+            self._close_targets()
+        width = min(words.shape[1], self.words.shape[1])
+        probes, targets = _folded(words, width), _folded(self.words, width)
+        step, a, b = max(1, SKETCH_PAIRS // len(targets)), [], []
+        for at in range(0, len(probes), step):
+            some = slice(at, at + step)
+            near = component[some, None] != self.component[None, :]
+            if own:
+                near &= np.arange(len(probes))[some, None] > np.arange(len(targets))[None, :]
+            differ = np.zeros(near.shape, np.int64)
+            for w in range(width):
+                differ += np.bitwise_count(probes[some, w, None] ^ targets[None, :, w])
+            near &= (100 + self.hundredths) * differ <= (100 - self.hundredths) * (n[some, None] + self.n[None, :])
+            probe, target = np.nonzero(near)
+            first = self.forest.join(probe, target)
+            a.append(sid[at + probe[first]])
+            b.append(self.sid[target[first]])
+        return np.concatenate(a), np.concatenate(b)
+
+    def close(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.held:
+            if self.forest is None:
+                self._close_targets()
+            yield self.meet(self.sid, self.n, self.component, self.words, own=True)
+            node, root = self.forest.edges()
+            yield self.sid[node], self.sid[root]
+
+
+def _touching_task(hundredths: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, targets = None, _Sketches(hundredths)
+        none = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+        def packed(found: list) -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*(none + found), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:  # sorted by key, chunk and role
+            if not batch.num_rows:
+                continue
+            place = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "chunk", "role")]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("sid", "n", "component")]
+            sketches, found = batch.column("sketch").to_pylist(), []
+            new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in place], axis=0)])
+            for at, to in zip(np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], batch.num_rows), strict=True):
+                here = place[0][at], place[1][at]
+                if here != key:
+                    found += targets.close()
+                    key, targets = here, _Sketches(hundredths)
+                rows = [x[at:to].copy() for x in columns]
+                if place[2][at] == 0:
+                    targets.add(*rows, sketches[at:to])
+                elif targets.held:  # else no set was dealt to this chunk
+                    found.append(targets.meet(*rows, _words(sketches[at:to])))
+            yield packed(found)
+        yield packed(list(targets.close()))
+
+    return run
+
+
 class _Targets:
     """Sets of one chunk, indexed by token; probes come in batches."""
 

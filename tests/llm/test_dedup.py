@@ -1,6 +1,7 @@
 """Substring, suffix, exact and Jaccard dedup against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -171,6 +172,60 @@ def test_shared_keys_whatever_the_batches(size):
     assert got == want
 
 
+@pytest.mark.parametrize("chunk", [3, 1 << 14])
+def test_common_words_chain_no_unlike_sets_into_clusters(spark, monkeypatch, chunk):
+    """Sets that share a segment by chance leave the groups by their sketches; before, they were clusters whose tokens met in full."""
+    rng, stored, clusters = random.Random(7), jaccard.stored, []
+
+    def seen(df, name):
+        out = stored(df, name)
+        clusters.extend([out.count()] if name == "jaccard-clusters" else [])
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", seen)
+    monkeypatch.setattr(jaccard, "GROUP_CHUNK", chunk)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.sample(words, 24)) for _ in range(150)]
+    texts += [t + " " + u for t, u in zip(texts[:40:2], words, strict=False)]
+    sets = [set(t.split()) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    least = least_of(range(len(sets)), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicate_classes(docs, ngram=1).collect()}
+    assert got == {i: least[i] for i in range(len(sets))} and len(links) >= 20
+    assert clusters and max(clusters) < 10
+
+
+def test_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 63, 64, 200, 1000, 5000):
+        pool = np.unique(rng.integers(0, 1 << 54, 3 * size, dtype=np.uint64))
+        for _ in range(20):
+            x = rng.choice(pool, size, replace=False)
+            y = np.concatenate([rng.choice(x, rng.integers(0, size + 1), replace=False), rng.choice(pool, rng.integers(1, size + 1), replace=False)])
+            x, y = np.unique(x), np.unique(y)
+            a, b = jaccard._words([jaccard.sketch(x), jaccard.sketch(y)])
+            assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+    assert len(jaccard.sketch(np.zeros(0, np.uint64))) == 8
+
+
+@pytest.mark.parametrize("size", [1, 4, 1000])
+def test_touching_sets_of_a_group_whatever_the_batches(size):
+    """What touches is connected by the pairs that come out, within chunks and between them, and nothing else is."""
+    rng = np.random.default_rng(size)
+    base = [np.unique(rng.integers(0, 1 << 54, 90, dtype=np.uint64)) for _ in range(4)]
+    sets = [np.concatenate([base[i % 4], rng.integers(0, 1 << 54, rng.integers(0, 4), dtype=np.uint64)]) for i in range(40)]
+    own = [int(x) for x in rng.integers(0, 3, 40)]
+    rows = [(5, chunk, int(chunk < own[i]), i, len(s), i, jaccard.sketch(s)) for i, s in enumerate(sets) for chunk in range(own[i] + 1)]
+    rows += [(9, 0, 0, i, len(sets[i]), 77, jaccard.sketch(sets[i])) for i in (0, 4)]  # one component: nothing to find
+    names = ["key", "chunk", "role", "sid", "n", "component", "sketch"]
+    table = pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in sorted(rows)])
+    found = [(r["a"], r["b"]) for b in jaccard._touching_task(85)(table.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+    assert found and all(a % 4 == b % 4 for a, b in found)
+    least = least_of(range(40), found)
+    assert all(least[i] == i % 4 for i in range(40))
+
+
 def test_signatures_meet_for_all_linked_sizes():
     """Any two sets that reach the bound share a key, whatever their sizes, also with too few spare segments."""
     rng = np.random.default_rng(5)
